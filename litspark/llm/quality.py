@@ -75,7 +75,7 @@ def _repeated_words(h3: str) -> Column:
     return F.when(F.size(F.array_distinct(h3)) < F.size(h3), F.element_at(F.transform(F.array(placed), of), 1)).otherwise(0)
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, score.
 
@@ -84,16 +84,19 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     more than half of them in repeated 3-word windows) or score below ``threshold`` are not kept; an equal
     score is. Native: arrays inside the row, one shuffle of ``buckets`` counts; nothing of a document is
     shuffled. Null and empty texts have no words and fail; repeated rows are judged each; an empty table gives
-    no rows; without trusted documents the ratio tells nothing of them, but stays defined.
+    no rows; without trusted documents the ratio tells nothing of them, but stays defined. ``carry`` names columns
+    to hand on in a struct ``__carried``.
     """
     ratio = log_ratios(docs, trusted, id_col, text_col, buckets)
     # one literal of ``buckets`` doubles, folded once
     weights = F.split(F.lit(",".join(repr(r) for r in ratio)), ",").cast("array<double>")
-    rows = _features(docs, id_col, text_col).withColumn("h3", _runs("h1", 3)).withColumn("grams", F.concat("h1", "h2"))
+    carried = [F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)]).alias("__carried")] if carry else []
+    rows = _features(docs, id_col, text_col, *carried).withColumn("h3", _runs("h1", 3)).withColumn("grams", F.concat("h1", "h2"))
     no_space = F.translate("text", SPACE, "")
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     counted = rows.select(
         "doc_id",
+        *(["__carried"] if carry else []),
         F.size("words").cast("long").alias("n_words"),
         F.length(no_space).cast("long").alias("word_chars"),
         (F.length(no_space) - F.length(F.translate("text", SPACE + SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -106,3 +109,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def keep_good(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` that the rules keep, with the same columns; every other column rides along in the row."""
+    judged = quality_rules(docs, trusted, id_col, text_col, carry=docs.columns, **options)
+    return judged.where("kept").select(*[F.col(f"__carried.c{i}").alias(c) for i, c in enumerate(docs.columns)])
