@@ -1 +1,152 @@
+"""Queries of claims, citations, challenges, verification, scores and the flagship."""
 
+from pyspark.sql import functions as F
+
+from ..operators import claims as C
+from ..operators import evaluate as E
+from ..plans.campaign import extract_sources, run_campaigns
+from ..registry import query
+from ..testviews import table, view
+
+_SENT = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+_MARKED = "regexp_matches(lower(s), 'we find|we found|results show|demonstrates|indicates|suggests') AND len(list_filter(string_split_regex(s, '\\s+'), lambda w: w <> '')) >= 5"
+_CLAIMS = f"c AS (SELECT paper_id, campaign_id, trim(unnest(l), ' ' || chr(10)) AS claim, unnest(range(len(l)))::INT AS claim_index FROM (SELECT paper_id, campaign_id, list_filter({_SENT}, lambda s: {_MARKED})[1:10] AS l FROM v_texts))"
+_LOCATED = "l AS (SELECT *, CASE WHEN source_id % 3 = 0 THEN '10.5555/x' END AS doi, CASE WHEN source_id % 5 = 0 THEN 'https://x.org' END AS url FROM v_claims)"
+_CH = f"""{_LOCATED}, ch AS (SELECT campaign_id, source_id, claim_index, claim AS claim_text, 'high' AS severity, 'missing_evidence' AS kind FROM l WHERE length(trim(evidence)) < 20
+  UNION ALL SELECT campaign_id, source_id, claim_index, claim, 'medium', 'low_confidence' FROM l WHERE confidence = 'low'
+  UNION ALL SELECT campaign_id, source_id, claim_index, claim, 'high', 'missing_source' FROM l WHERE doi IS NULL AND url IS NULL
+  UNION ALL SELECT campaign_id, source_id, claim_index, claim, 'low', 'coverage' FROM l WHERE len(string_split(trim(claim), ' ')) < 6)"""
+_VE = """ve AS (SELECT campaign_id, source_id, claim_index, claim AS claim_text, concat_ws('; ', CASE WHEN evidence = '' THEN 'claim has no quoted evidence' WHEN claim_index % 2 = 1 THEN 'quoted evidence not found in extracted source text' END,
+  CASE WHEN doi IS NULL AND url IS NULL THEN 'source has no DOI, PDF URL, or landing page' END) AS r FROM l)"""
+_REPORT = f"""{_CH}, {_VE}, r AS (SELECT campaign_id, count(DISTINCT source_id) AS total_sources, count(*) AS total_claims, count(*) FILTER (claim_index = 0) AS citation_count FROM v_claims GROUP BY 1),
+  h AS (SELECT campaign_id, count(DISTINCT (source_id, claim_index, kind)) AS challenged_count, count(*) FILTER (severity = 'high') AS high_severity_count FROM ch GROUP BY 1),
+  v AS (SELECT campaign_id, count(*) FILTER (r = '') AS verified_count, count(*) FILTER (r <> '') AS failed_verification_count FROM ve GROUP BY 1),
+  report AS (SELECT r.*, coalesce(challenged_count, 0) AS challenged_count, coalesce(high_severity_count, 0) AS high_severity_count, coalesce(verified_count, 0) AS verified_count, coalesce(failed_verification_count, 0) AS failed_verification_count
+    FROM r LEFT JOIN h USING (campaign_id) LEFT JOIN v USING (campaign_id)),
+  scored AS (SELECT *, 0.5 + 0.25 * (total_claims > 0)::INT + 0.25 * (citation_count > 0)::INT AS coverage_score,
+    round(greatest(0.0, 1 - 0.2 * least(challenged_count / total_claims, 1.0) - 0.4 * least(high_severity_count / total_claims, 1.0) - 0.4 * least(failed_verification_count / total_claims, 1.0)), 4) AS quality_score FROM report)"""
+
+
+def _located(spark, d):
+    c = view(spark, d, "v_claims")
+    return c.withColumns({"doi": F.when(c.source_id % 3 == 0, "10.5555/x"), "url": F.when(c.source_id % 5 == 0, "https://x.org"), "pdf_url": F.lit(None).cast("string"), "source_text": F.when(c.claim_index % 2 == 0, F.concat(F.lit("Seen:  "), F.upper(c.evidence)))})
+
+
+def _report(spark, d):
+    c = _located(spark, d)
+    return E.evaluate(c.select("campaign_id", "source_id").distinct(), c, c.where("claim_index = 0"), C.challenge_claims(c), C.verify_claims(c))
+
+
+@query("str_27_extract_claims", f"WITH {_CLAIMS} SELECT paper_id, claim_index, claim FROM c")
+def _(spark, d):
+    return C.extract_claims(view(spark, d, "v_texts")).select("paper_id", "claim_index", "claim")
+
+
+@query(
+    "str_28_extract_citations",
+    r"""WITH a AS (SELECT paper_id, regexp_extract_all(text, '[A-Z][a-zA-Z\-]+(?:\s+(?:and|et\s+al\.)?\s*[A-Z][a-zA-Z\-]+)*\s*\(\d{4}\)') AS l1, regexp_extract_all(text, '\[\d{1,3}\]') AS l2, regexp_extract_all(text, '10\.\d{4,9}/[-._;()/:\p{L}\p{N}_]+') AS l3 FROM v_texts)
+        SELECT paper_id, 'author_year' AS kind, unnest(range(len(l1)))::INT AS nth, unnest(l1) AS raw FROM a UNION ALL SELECT paper_id, 'numbered', unnest(range(len(l2)))::INT, unnest(l2) FROM a UNION ALL SELECT paper_id, 'doi', unnest(range(len(l3)))::INT, unnest(l3) FROM a""",
+)
+def _(spark, d):
+    return C.extract_citations(view(spark, d, "v_texts")).select("paper_id", "kind", "nth", "raw")
+
+
+@query("str_28b_citation_context", r"WITH t AS (SELECT paper_id, text, strpos(text, 'See [') + 4 AS p, length(regexp_extract(text, 'See (\[\d{1,3}\])', 1)) AS n FROM v_texts) SELECT paper_id, trim(replace(substr(text, greatest(1, p - 120), p + n + 120 - greatest(1, p - 120)), chr(10), ' '), ' ' || chr(9)) AS context FROM t")
+def _(spark, d):
+    return C.extract_citations(view(spark, d, "v_texts")).where("kind = 'numbered'").select("paper_id", "context")
+
+
+_FACTS = "f AS (SELECT p_partkey AS fact_id, lower('claim ' || p_name) AS fact, list_distinct(string_split('claim ' || p_name, ' ')) AS fw FROM part WHERE p_partkey < 20)"
+
+
+@query(
+    "joi_11_conflicts",
+    f"WITH {_FACTS} SELECT source_id, fact_id, min({{'i': claim_index, 'c': claim}}).c AS claim FROM v_claims, f WHERE contains(lower(claim), fact) OR len(list_intersect(fw, string_split(lower(claim), ' '))) / len(fw) > 0.8 GROUP BY 1, 2",
+)
+def _(spark, d):
+    facts = table(spark, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("fact_id"), F.concat(F.lit("claim "), F.col("p_name")).alias("text"))
+    return C.conflicts(view(spark, d, "v_claims"), facts)
+
+
+@query("rul_08_challenge_claims", f"WITH {_CH} SELECT * FROM ch")
+def _(spark, d):
+    return C.challenge_claims(_located(spark, d)).select("campaign_id", "source_id", "claim_index", "claim_text", "severity", "kind")
+
+
+@query("joi_12_verify_claims", f"WITH {_LOCATED}, {_VE} SELECT campaign_id, source_id, claim_index, claim_text, r = '' AS ok, CASE WHEN r = '' THEN 'claim checks passed' ELSE r END AS reason FROM ve")
+def _(spark, d):
+    return C.verify_claims(_located(spark, d))
+
+
+@query("str_35_parse_review_lines", "SELECT p_partkey AS campaign_id, 0 AS flat_index, 'high' AS severity, 'thin' AS reason, 'more' AS requested_evidence, p_size AS source_id, 'claim ' || p_name AS claim_text, 'llm_audit' AS kind FROM part")
+def _(spark, d):
+    part = table(spark, d, "part")
+    claims = part.select(F.col("p_partkey").alias("campaign_id"), F.lit(0).alias("flat_index"), F.col("p_size").alias("source_id"), F.concat(F.lit("claim "), F.col("p_name")).alias("claim"))
+    replies = part.select(F.col("p_partkey").alias("campaign_id"), F.lit("high | 0 | thin | more\nnone\nhuge | 0 | x | y\nlow | 7 | x | y\nlow | a | b | c").alias("reply"))
+    return C.parse_review_lines(replies, claims)
+
+
+@query("str_36_parse_audit_sections", "SELECT conv_id * 1000 + turn AS reply_id, unnest(['anomalies', 'recommendations']) AS section, unnest([1, 5]) AS nth, unnest(['turn ' || turn, 'check ' || role]) AS item FROM conversations")
+def _(spark, d):
+    c = table(spark, d, "conversations")
+    reply = F.concat(F.lit("Hello\n- turn "), F.col("turn").cast("string"), F.lit("\n\nRecommendations:\nplain\n -- check "), F.col("role"))
+    return C.parse_audit_sections(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), reply.alias("reply")))
+
+
+@query("agg_03_evaluate", f"WITH {_REPORT} SELECT * FROM scored")
+def _(spark, d):
+    return _report(spark, d)
+
+
+@query("agg_04_coverage_score", "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 0.0 ELSE 0.5 + 0.25 * (n_nationkey % 3 > 0)::INT + 0.25 * (n_nationkey % 2 > 0)::INT END AS coverage FROM nation")
+def _(spark, d):
+    k = F.col("n_nationkey")
+    return table(spark, d, "nation").select("n_nationkey", E.coverage_score(k % 5, k % 3, k % 2).alias("coverage"))
+
+
+@query("agg_05_quality_score", f"WITH {_REPORT} SELECT campaign_id, quality_score FROM scored")
+def _(spark, d):
+    return _report(spark, d).select("campaign_id", "quality_score")
+
+
+@query("agg_06_challenge_triage", f"WITH {_CH} SELECT campaign_id, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM ch GROUP BY 1")
+def _(spark, d):
+    return E.challenge_triage(C.challenge_claims(_located(spark, d)))
+
+
+@query("agg_07_improvement_proposals", f"WITH {_REPORT} SELECT campaign_id, 'verifier' AS area, failed_verification_count || ' claims failed verification' AS issue FROM scored WHERE failed_verification_count > 0 UNION ALL SELECT campaign_id, 'devil', high_severity_count || ' high-severity challenges raised' FROM scored WHERE high_severity_count > 0")
+def _(spark, d):
+    return E.improvement_proposals(_report(spark, d)).select("campaign_id", "area", "issue")
+
+
+_BRIEF = f"""WITH {_REPORT}, cl AS (SELECT campaign_id, list(claim || chr(10) ORDER BY source_id, claim_index, claim) AS l FROM (SELECT campaign_id, source_id, claim_index, '. **' || claim || '**' || chr(10) || '   - Evidence: ' || coalesce(nullif(evidence, ''), 'none') || chr(10) || '   - Confidence: ' || confidence || chr(10) || '   - Source: paper ' || source_id || ' (' || coalesce(url, 'no URL') || ')' AS claim FROM l) GROUP BY 1)
+  SELECT campaign_id, '# Research Brief: q' || campaign_id || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || '- Sources reviewed: **' || total_sources || '**' AS head, array_to_string(list_transform(l, lambda x, i: i || x), chr(10)) AS claims FROM scored JOIN cl USING (campaign_id)"""
+
+
+@query("agg_08_render_brief", _BRIEF)
+def _(spark, d):
+    c = _located(spark, d).withColumns({"title": F.concat(F.lit("paper "), F.col("source_id").cast("string")), "full_text_url": F.col("url")})
+    report = _report(spark, d).withColumn("query", F.concat(F.lit("q"), F.col("campaign_id").cast("string")))
+    brief = E.render_brief(report, c, C.challenge_claims(c), C.verify_claims(c))
+    body = F.regexp_extract("brief", r"(?s)## Claims\n\n(.*?)\n## ", 1)
+    return brief.select("campaign_id", F.regexp_extract("brief", r"(?s)^(.*?)\n- Claims extracted", 1).alias("head"), body.alias("claims"))
+
+
+@query("src_15_brief_index", "SELECT '# Research Insights' || chr(10) || chr(10) || 'Aggregated insight briefs from all research campaigns.' || chr(10) || chr(10) || '## Campaigns' || chr(10) || chr(10) || string_agg('- [' || CASE WHEN r_regionkey = 0 THEN lower(r_name) ELSE 'On ' || r_name END || '](./' || lower(r_name) || '/' || lower(r_name) || '_Insights.MD) — `' || lower(r_name) || '`', chr(10) ORDER BY lower(r_name)) || chr(10) AS index FROM region")
+def _(spark, d):
+    r = table(spark, d, "region")
+    return E.brief_index(r.select(F.lower("r_name").alias("slug"), F.when(F.col("r_regionkey") == 0, F.lit("none")).otherwise(F.concat(F.lit("x\n# On "), F.col("r_name"), F.lit("\n# no"))).alias("brief")))
+
+
+@query(
+    "rul_11_extract_sources",
+    r"""SELECT paper_id, trim(string_split(text, chr(10) || chr(10))[1]) AS summary, trim(regexp_extract(text, '(?s)## Data\n(.*?)(?:\n#|$)', 1), ' ' || chr(10) || chr(9) || chr(13)) AS data_summary, length(text) AS char_count FROM v_texts""",
+)
+def _(spark, d):
+    return extract_sources(view(spark, d, "v_texts").withColumn("abstract", F.lit(None).cast("string"))).select("paper_id", "summary", "data_summary", F.col("char_count").cast("long").alias("char_count"))
+
+
+@query("rul_12_run_campaigns")
+def _(spark, d):
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("paper_id"), (F.col("quality") * 3 + 2).alias("relevance"))
+    return run_campaigns(view(spark, d, "v_papers").join(labels, "paper_id", "left"), view(spark, d, "v_texts").drop("campaign_id"))
