@@ -1 +1,71 @@
+"""Queries that run streams over the driver's tables to their end (STM-01..05)."""
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators.catalog import redact_catalog
+from ..registry import query
+from ..streaming import streams as S
+from ..testviews import view
+from .sources import _shared
+from .telemetry import _DUR
+
+
+def _stream(spark, d, parts=2):
+    """Events laid down as files in order, to be read one at a time."""
+    e = view(spark, d, "v_events").withColumns({"error": F.lit(None).cast("string"), "meta": F.create_map(F.lit("stage"), F.col("type"), F.lit("user"), F.lit("x"), F.lit("model"), F.lit("token=abcdefgh"))})
+    path = _shared(spark, "stream-in")
+    e.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    return spark.readStream.schema(S.EVENT).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _run(spark, stream, mode):
+    return S.run_available(stream, f"q_{uuid.uuid4().hex}", mode, _shared(spark, "stream-state"))
+
+
+@query("stm_01_stream_events", "SELECT event_id, type AS stage, 'token=[REDACTED]' AS model, 2 AS n_keys FROM v_events")
+def _(spark, d):
+    done = _run(spark, S.sanitized(_stream(spark, d)), "append")
+    return done.select("event_id", F.col("meta")["stage"].alias("stage"), F.col("meta")["model"].alias("model"), F.size("meta").alias("n_keys"))
+
+
+@query("stm_02_stream_stage_durations", f"WITH {_DUR} SELECT campaign_id, stage_pos, round(seconds, 3) AS seconds FROM dur")
+def _(spark, d):
+    done = _run(spark, S.stream_stage_durations(_stream(spark, d), "60 days"), "update")
+    return done.groupBy("campaign_id", "stage_pos").agg(F.round(F.max("seconds"), 3).alias("seconds"))
+
+
+@query("stm_03_stream_alerts", "SELECT campaign_id, stage_pos, 'thrashing' AS kind, 1::BIGINT AS n FROM v_events WHERE type = 'stage_enter' GROUP BY 1, 2 HAVING count(*) > 3 UNION ALL SELECT campaign_id, stage_pos, 'stage_failure', count(*) FROM v_events WHERE type = 'stage_exit' AND NOT ok GROUP BY 1, 2")
+def _(spark, d):
+    thrash = _run(spark, S.stream_thrashing(_stream(spark, d)), "append").select("campaign_id", "stage_pos", "kind")
+    failed = _run(spark, S.stream_failures(_stream(spark, d)), "append").select("campaign_id", "stage_pos", "kind")
+    return thrash.unionByName(failed).groupBy("campaign_id", "stage_pos", "kind").agg(F.count("*").alias("n"))
+
+
+@query("stm_03b_stream_stuck")
+def _(spark, d):
+    return _run(spark, S.stream_stuck(_stream(spark, d, 4)), "append")
+
+
+@query("stm_04_stream_action_stats", "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, outcome, agent_name, count(*) AS n FROM v_log GROUP BY 1, 2, 3")
+def _(spark, d):
+    path = _shared(spark, "stream-in")
+    log = view(spark, d, "v_log")
+    log.repartitionByRange(2, "ts").write.parquet(path)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    done = _run(spark, S.action_stats(stream, late="60 days"), "update")
+    return done.groupBy("start", "outcome", "agent_name").agg(F.max("n").alias("n"))
+
+
+@query(
+    "stm_05_stream_catalog_upsert",
+    "SELECT lower(regexp_replace(regexp_extract(canonical_url, '^[a-z]+://[^?#]*'), '/+$', '')) AS source_id, arg_max(source_type, obs_id) AS source_type, min(obs_id) AS first_obs FROM v_sources GROUP BY 1",
+)
+def _(spark, d):
+    o = redact_catalog(view(spark, d, "v_sources").withColumns({"seen_at": F.timestamp_seconds(F.col("obs_id")), "topic_tags": F.array("topic_tag")}))
+    path, out = _shared(spark, "stream-in"), _shared(spark, "catalog")
+    o.repartitionByRange(2, "obs_id").write.parquet(path)
+    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    S.upsert_catalog(stream, out).option("checkpointLocation", _shared(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/1").select("source_id", "source_type", F.unix_seconds("created_at").alias("first_obs"))
