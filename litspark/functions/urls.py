@@ -25,14 +25,32 @@ SPECIAL_IPV4 = (
 )
 
 
+#: The generic shape of a URL: scheme, authority, path, query, fragment.
+SHAPE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+SCHEME, AUTHORITY, PATH, QUERY, FRAGMENT = range(1, 6)
+
+
+def url_part(url: Column, part: int) -> Column:
+    """A part of a URL as it stands there, "" if missing; no URL is too odd to be taken apart."""
+    return F.regexp_extract(url, SHAPE, part)
+
+
+def _host(url: Column) -> Column:
+    bare = F.regexp_replace(url_part(url, AUTHORITY), "(?s)^.*@", "")
+    return F.lower(F.when(F.startswith(bare, F.lit("[")), F.regexp_extract(bare, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(bare, "(?s):[^:]*$", "")))
+
+
+def url_port(url: Column) -> Column:
+    return F.regexp_extract(url_part(url, AUTHORITY), r":(\d+)$", 1)
+
+
 def url_host(url: Column) -> Column:
-    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
+    return F.coalesce(_host(url), F.lit(""))
 
 
 def canonical_source_id(url: Column) -> Column:
     """scheme://host and path without a trailing slash, in lower case."""
-    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/+$", "")
-    return F.lower(F.concat(F.try_parse_url(url, F.lit("PROTOCOL")), F.lit("://"), url_host(url), path))
+    return F.lower(F.concat(url_part(url, SCHEME), F.lit("://"), url_host(url), F.regexp_replace(url_part(url, PATH), "/+$", "")))
 
 
 def let(value: Column, use) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.redact import redact_headers, redact_map, redact_secrets, redact_url
-from ..functions.urls import canonical_source_id, url_host
+from ..functions.urls import SCHEME, canonical_source_id, url_host, url_part
 
 LOG_COLUMNS = ("agent_name", "action_type", "outcome", "source_name", "target_url", "request_summary", "audit_level")
 CATALOG_COLUMNS = ("source_id", "canonical_url", "host", "source_type")
@@ -93,7 +93,7 @@ def redact_log(log: DataFrame) -> DataFrame:
 
 
 def valid_source_url(observations: DataFrame) -> DataFrame:
-    return observations.where(F.coalesce(F.lower(F.try_parse_url("canonical_url", F.lit("PROTOCOL"))).isin("http", "https"), F.lit(False)))
+    return observations.where(F.coalesce(F.lower(url_part(F.col("canonical_url"), SCHEME)).isin("http", "https"), F.lit(False)))
 
 
 def redact_catalog(observations: DataFrame) -> DataFrame:

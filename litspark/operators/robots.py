@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import url_host
+from ..functions.urls import PATH, SCHEME, url_host, url_part
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -14,8 +14,8 @@ def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
     ``rules``: scheme, host, rule_no, allow, path_prefix. URLs that do not parse are refused. Each host's rules
     form one sorted array, so the join is on the host alone.
     """
-    parsed = urls.withColumns({"__scheme": F.lower(F.try_parse_url("url", F.lit("PROTOCOL"))), "__host": url_host(F.col("url")), "__path": F.coalesce(F.nullif(F.try_parse_url("url", F.lit("PATH")), F.lit("")), F.lit("/"))})
-    parsed = parsed.where("__scheme is not null and __host <> ''")
+    parsed = urls.withColumns({"__scheme": F.lower(url_part(F.col("url"), SCHEME)), "__host": url_host(F.col("url")), "__path": F.coalesce(F.nullif(url_part(F.col("url"), PATH), F.lit("")), F.lit("/"))})
+    parsed = parsed.where("__scheme <> '' and __host <> ''")
     by_host = rules.groupBy(F.col("scheme").alias("__scheme"), F.col("host").alias("__host")).agg(F.array_sort(F.collect_list(F.struct("rule_no", "allow", "path_prefix"))).alias("__rules"))
     first = F.get(F.filter("__rules", lambda r: F.startswith(F.col("__path"), r["path_prefix"])), F.lit(0))["allow"]
     return parsed.join(by_host, ["__scheme", "__host"], "left").where(F.coalesce(first, F.lit(True))).select(*urls.columns)

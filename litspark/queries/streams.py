@@ -12,11 +12,18 @@ from .sources import _shared
 from .telemetry import _DUR
 
 
+def _lay_down(df, path, order, parts=2):
+    """Files of ranges of ``order`` one after the other, as a log would grow: a stream reads them by age."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    for k in range(parts):
+        lower, upper = (low + (high + 1 - low) * x // parts for x in (k, k + 1))
+        df.where((F.col(order) >= lower) & (F.col(order) < upper)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def _stream(spark, d, parts=2):
-    """Events laid down as files in order, to be read one at a time."""
     e = view(spark, d, "v_events").withColumns({"error": F.lit(None).cast("string"), "meta": F.create_map(F.lit("stage"), F.col("type"), F.lit("user"), F.lit("x"), F.lit("model"), F.lit("token=abcdefgh"))})
-    path = _shared(spark, "stream-in")
-    e.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    path = _lay_down(e, _shared(spark, "stream-in"), "event_id", parts)
     return spark.readStream.schema(S.EVENT).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -50,9 +57,8 @@ def _(spark, d):
 
 @query("stm_04_stream_action_stats", "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, outcome, agent_name, count(*) AS n FROM v_log GROUP BY 1, 2, 3")
 def _(spark, d):
-    path = _shared(spark, "stream-in")
     log = view(spark, d, "v_log")
-    log.repartitionByRange(2, "ts").write.parquet(path)
+    path = _lay_down(log, _shared(spark, "stream-in"), "history_id")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
     done = _run(spark, S.action_stats(stream, late="60 days"), "update")
     return done.groupBy("start", "outcome", "agent_name").agg(F.max("n").alias("n"))
@@ -64,8 +70,7 @@ def _(spark, d):
 )
 def _(spark, d):
     o = redact_catalog(view(spark, d, "v_sources").withColumns({"seen_at": F.timestamp_seconds(F.col("obs_id")), "topic_tags": F.array("topic_tag")}))
-    path, out = _shared(spark, "stream-in"), _shared(spark, "catalog")
-    o.repartitionByRange(2, "obs_id").write.parquet(path)
+    path, out = _lay_down(o, _shared(spark, "stream-in"), "obs_id"), _shared(spark, "catalog")
     stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
     S.upsert_catalog(stream, out).option("checkpointLocation", _shared(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/1").select("source_id", "source_type", F.unix_seconds("created_at").alias("first_obs"))
