@@ -9,7 +9,11 @@ import numpy as np
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Words remembered by one worker; beyond that it starts afresh.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
+JOINED_WORDS = 1000
+#: A mark at a word's end is a token of its own after one of LETTERS.
+MARKS = frozenset(bytes([c]) for c in b".,!?;:")
+LETTERS = frozenset(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyz0123456789")
 _TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -34,7 +38,8 @@ class _Memo(dict):
 class WordEncoder:
     """ids of texts under a tokenizer that drops white space and lower-cases, so that a text's ids are its words' ids.
 
-    Each distinct word goes to the library once; A-Z are lower-cased before, but in texts with ``<|``, where
+    Each distinct word goes to the library once, and one mark at a word's end goes apart from a letter or digit
+    before it, as the tokenizer parts them too. A-Z are lower-cased before, but in texts with ``<|``, where
     case decides whether a special token stands there.
     """
 
@@ -44,6 +49,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id, self.memo_words = end_id, memo_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.stems: dict[bytes, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -53,11 +62,37 @@ class WordEncoder:
         self.first = np.array([0], np.int64)
         self.count = np.array([1], np.int64)
 
+    def _encode_stems(self, stems: list[bytes]) -> None:
+        """Words of letters are encoded many at a time: each is one pre-token, whose last id ends a word."""
+        words = [s.decode("utf-8", "replace") for s in stems]
+        plain = [k for k, w in enumerate(words) if w.isalpha()]
+        alone = [k for k, w in enumerate(words) if not w.isalpha()]
+        groups = [plain[i : i + JOINED_WORDS] for i in range(0, len(plain), JOINED_WORDS)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join([words[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = found.ids
+            last = np.flatnonzero(self.ends_word[ids]).tolist()
+            if len(last) != len(group):
+                alone += group
+                continue
+            at = 0
+            for k, end in zip(group, last, strict=True):
+                self.stems[stems[k]] = ids[at : end + 1]
+                at = end + 1
+        for k, found in zip(alone, self.tokenizer.encode_batch_fast([words[k] for k in alone], add_special_tokens=False), strict=True):
+            self.stems[stems[k]] = found.ids
+
     def _learn(self) -> None:
         fresh, self.memo.fresh = self.memo.fresh, []
         if not fresh:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
+        if len(self.stems) > self.memo_words:
+            self.stems = {}
+        parts = [(w[:-1], w[-1:]) if w[-1:] in MARKS and w[-2:-1] in LETTERS and b"<|" not in w else (w, b"") for w in fresh]
+        unknown = {x for pair in parts for x in pair if x and x not in self.stems}
+        if unknown:
+            self._encode_stems(sorted(unknown))
+        stems = self.stems
+        found = [stems[a] + stems[b] if b else stems[a] for a, b in parts]
         count = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum()))
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
