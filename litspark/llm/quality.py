@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .common import SPACE, text_or_empty
 
 BUCKETS = 1 << 14
+PSEUDO = 30.0
 #: Documents at or above this mean log-likelihood ratio (nats an n-gram) are kept.
-THRESHOLD = -0.05
+THRESHOLD = -0.045
 #: Trusted documents that the target distribution is fitted on, at most.
 TRUSTED_ROWS = 20_000
 MIN_WORDS = 50
@@ -46,7 +47,10 @@ def _features(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Dat
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> list[float]:
-    """log(target share / raw share) of each bucket of hashed words and word pairs, add-one smoothed.
+    """log(target share / raw share) of each bucket of hashed words and word pairs.
+
+    Raw counts are scaled to the target's total, and ``PSEUDO`` is added to either, so that a bucket tells
+    little until the target should hold many of its n-grams.
 
     The raw multinomial counts every document. The target one is fitted on the documents of at most
     ``trusted_rows`` ids of ``trusted``, those of lowest hash, so that the ids broadcast are bounded.
@@ -59,8 +63,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     counts = {(r.good, r.bucket): r.n for r in grams.groupBy("good", "bucket").agg(F.count("*").alias("n")).collect()}
     target = [counts.get((True, b), 0) for b in range(buckets)]
     raw = [counts.get((False, b), 0) + target[b] for b in range(buckets)]
-    n_target, n_raw = sum(target) + buckets, sum(raw) + buckets
-    return [math.log((t + 1) / n_target) - math.log((r + 1) / n_raw) for t, r in zip(target, raw, strict=True)]
+    scale = sum(target) / max(1, sum(raw))
+    return [math.log(t + PSEUDO) - math.log(r * scale + PSEUDO) for t, r in zip(target, raw, strict=True)]
 
 
 def _repeated_words(h3: str) -> Column:
@@ -106,9 +110,12 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
             F.size("grams") > 0,
             F.aggregate("grams", F.lit(0.0), lambda total, h: total + F.element_at(weights, (F.pmod(h, F.lit(buckets)) + 1).cast("int"))) / F.size("grams"),
         ).otherwise(0.0).alias("score"),
+        # a filter on ``kept`` stays above this column, and so above the arrays, which would else be worked out inside it again and again
+        F.monotonically_increasing_id().alias("row"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    judged = counted.withColumn("base_failed", failed)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("row") >= 0)).drop("row")
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
