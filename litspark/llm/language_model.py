@@ -133,6 +133,24 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInPandas(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """At most ``most`` words with their counts, most frequent first: all that occur some times or more.
+
+    How often that is shows a histogram of a few hundred classes of counts, so no task sorts words.
+    """
+    size = F.floor(F.log2("c") * 16).cast("int")
+    least, held = None, 0
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["size"]):
+        held += r.n
+        if held > most:
+            break
+        least = r["size"]
+    if least is None:
+        return {}
+    found = counts.where(size >= least).toArrow().to_pydict()
+    return dict(sorted(zip(map(bytes, found["word"]), found["c"], strict=True), key=lambda w: (-w[1], w[0])))
+
+
 def context_counts(rows: DataFrame, places) -> DataFrame:
     """(key, n): how often each class follows each pair of classes; CLASSES**3 keys at most."""
 
@@ -183,8 +201,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("held_out", F.coalesce(F.expr(HELD_OUT), F.lit(False)))
     training = rows.where("not held_out")
     counts = cut(word_counts(training))
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN_WORDS).toArrow().to_pydict()
-    known = dict(zip(map(bytes, top["word"]), top["c"], strict=True))
+    known = frequent_words(counts, KNOWN_WORDS)
     classes = {w: i for i, w in enumerate(list(known)[:WORD_CLASSES])}
     if END not in classes:
         classes = {w: i for i, w in enumerate([END, *list(known)[: WORD_CLASSES - 1]])}
