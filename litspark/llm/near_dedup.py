@@ -16,9 +16,8 @@ SIMILARITY = 0.8
 #: Sketches a document, and k-mers in each.
 SKETCHES, ORDERED = 20, 3
 SEED = 6
-#: Rounds of leaders in a bucket, before what is left is sketched anew: so many sketches, so many k-mers in each.
+#: Rounds of leaders in a bucket, before texts of different labels are aligned.
 ROUNDS = 6
-FINE_SKETCHES, FINE_ORDERED = 120, 14
 #: Up to so many keys (16 bytes and an id each) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 MEMO_WORDS = 300_000
@@ -160,34 +159,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return cut(both.select("a", "b", "left", "right").mapInPandas(align, "a binary, b binary, similarity double").distinct())
 
 
-def _fine_pairs(texts: DataFrame, open_keys: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts, one of them open, that share one of many long sketches.
+def _close_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of texts (key, text, label) of different labels that may reach ``least``; no pair that does is left out.
 
-    At a similarity of 0.8 one of FINE_SKETCHES agrees in 99.5 of 100 cases; at 0.5 in less than 1 of 100.
+    Runs are ordered by how few of the texts have them. Two texts of n and m runs with
+    M / (n + m - M) >= least have least * n runs in common, so the first of these is among the first
+    n - least * n + 1 of each, and from it on both have the M = (n + m) * least / (1 + least) runs they need.
     """
 
-    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"key": frame["key"], "sketch": [order_sketch(kmers(t), FINE_SKETCHES, FINE_ORDERED) for t in frame["text"]]})
-
-    rows = texts.dropDuplicates(["key"]).mapInPandas(sketch, "key binary, sketch array<long>")
-    rows = rows.select("key", F.posexplode("sketch").alias("nth", "value")).select("key", F.xxhash64("nth", "value").alias("bucket"))
-    rows = cut(rows)
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    rows = rows.join(shared, "bucket", "left_semi")
-    left = rows.join(open_keys, "key", "left_semi").select(F.col("key").alias("x"), "bucket")
-    return left.join(rows, "bucket").where("x <> key").select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
+            for at in range(0, len(frame), 1000):
+                some = frame.iloc[at : at + 1000]
+                found = [kmers(t).view(np.int64) for t in some["text"]]
+                yield pd.DataFrame({"key": some["key"].to_numpy(), "label": some["label"].to_numpy(), "n": [len(f) for f in found], "runs": found})
+
+    rows = texts.dropDuplicates(["key"]).mapInPandas(runs, "key binary, label binary, n int, runs array<long>")
+    rows = cut(rows.withColumn("nth", F.monotonically_increasing_id()))
+    each = rows.select("nth", F.explode("runs").alias("run"))
+    common = each.join(each.groupBy("run").agg(F.count("*").alias("texts")).where("texts > 1"), "run")
+    common = common.groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("texts", "run"))).alias("common"))
+    own = F.col("n") - F.size("common")
+    first = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - own).cast("int")
+    rows = rows.select("nth", "key", "label", "n").join(common, "nth").select("key", "label", "n", F.size("common").alias("size"), F.when(first > 0, F.slice("common", 1, first)).alias("first"))
+    rows = rows.select("key", "label", "n", "size", F.posexplode("first").alias("place", "of"))
+    rows = cut(rows.select(F.col("of.run").alias("run"), "key", "label", "n", (F.col("size") - F.col("place")).alias("ahead")))
+    other = rows.select("run", *[F.col(c).alias(f"{c}_b") for c in ("key", "label", "n", "ahead")])
+    enough = F.least("ahead", "ahead_b") * (1 + least) >= (F.col("n") + F.col("n_b")) * least - 1e-9
+    pairs = rows.alias("l").join(other.alias("r"), (F.col("l.run") == F.col("r.run")) & (F.col("key") < F.col("key_b")) & (F.col("label") != F.col("label_b")) & enough)
+    return pairs.select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
 def near_links(keyed: DataFrame, sketched: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """Verified links (a, b) between texts (keys).
+    """Verified links (a, b) between texts (keys), enough of them to join all of a class.
 
     Texts with one sketch in common meet in a bucket. In each, the text that meets most others in all its
     buckets leads (a group's original meets more than its copies do) and is aligned with every other one; those
     it is similar to are settled there. Next leads the one that meets most after it, settled or not, and is
-    aligned with those still open, and so on: a group of copies costs a few alignments a member. Texts still
-    open after ``rounds`` are sketched anew, longer and oftener, and aligned with every text of their buckets,
-    settled or not, that shares such a sketch.
+    aligned with those still open, and so on: a group of copies costs a few alignments a member. What is
+    linked after ``rounds`` gets one label. Then all texts, settled or not, of buckets with several labels are
+    aligned with those of other labels, but for pairs that cannot be similar enough.
     """
     reps = cut(sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
     members = reps.select("key", F.posexplode("sketch").alias("nth", "value")).select("key", F.xxhash64("nth", "value").alias("bucket"))
@@ -210,14 +221,16 @@ def near_links(keyed: DataFrame, sketched: DataFrame, least: float = SIMILARITY,
         still = met.where("key <> leader" if open_ is every else "true")
         open_ = cut(still.join(tried.where("similarity > 0"), ["a", "b"], "left_anti").select("key", "bucket", "meets"))
         if open_.isEmpty():
-            return tried.where("similarity > 0")
+            break
         may_lead = may_lead.join(led.select("bucket", F.col("leader").alias("key")), ["bucket", "key"], "left_anti")
         may_lead = cut(may_lead.join(open_.select("bucket").distinct(), "bucket", "left_semi"))
         # a bucket whose members have all led has no pair left
         open_ = open_.join(may_lead.select("bucket").distinct(), "bucket", "left_semi")
-    open_ = cut(open_)
-    near = texts.join(every.join(open_.select("bucket").distinct(), "bucket", "left_semi").select("key").distinct(), "key", "left_semi")
-    pairs = cut(_fine_pairs(near, open_.select("key").distinct()).join(tried, ["a", "b"], "left_anti"))
+    labels = components(tried.where("similarity > 0"))
+    labelled = every.join(labels, "key", "left").select("key", "bucket", F.coalesce("label", "key").alias("label"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    apart = labelled.join(mixed, "bucket", "left_semi").select("key", "label").distinct()
+    pairs = cut(_close_pairs(texts.join(apart, "key"), least).join(tried, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         tried = tried.unionByName(_verified(pairs, texts, least))
     return tried.where("similarity > 0")
@@ -241,8 +254,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, class_id (least id of its class), class_size, n_links (of its text to
-    different texts), key (of its text), kept.
+    """One row per document: doc_id, class_id (least id of its class), class_size, found_links (of its
+    text to different texts: those found until its class was whole, not all there are), key (of its text), kept.
 
     Documents are of one class if their texts are equal but for the case of A-Z, or linked, directly or over
     others, by an aligned similarity of their 5-word runs of ``least`` or more. Null and empty texts are equal
@@ -254,13 +267,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketched = cut(_sketched(keyed))
     links = cut(near_links(keyed, sketched, least).select("a", "b"))
     labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("found_links"))
     placed = sketched.select("doc_id", "key").join(labels.join(degree, "key", "left"), "key", "left")
-    placed = cut(placed.select("doc_id", "key", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    placed = cut(placed.select("doc_id", "key", F.coalesce("label", "key").alias("label"), F.coalesce("found_links", F.lit(0)).cast("long").alias("found_links")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("k"))).alias("first")
     classes = placed.groupBy("label").agg(first, F.count("*").alias("class_size"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.k"))
-    return placed.join(classes, "label").select("doc_id", F.col("first.id").alias("class_id"), "class_size", "n_links", "key", kept.alias("kept"))
+    return placed.join(classes, "label").select("doc_id", F.col("first.id").alias("class_id"), "class_size", "found_links", "key", kept.alias("kept"))
 
 
 def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:

@@ -43,7 +43,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_dedup
 
-    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "found_links")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 import zlib
+from pyspark.sql import functions as F
 
 from litspark.llm import exact_dedup, language_model, mixing, near_dedup, quality, secrets, sharding, toxicity
 
@@ -288,6 +289,28 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch):
     assert kept.count() == len(_near_classes(rows))
 
 
+def _links_in_one_bucket(spark, texts, rounds):
+    """Components of texts that all share their only sketch, by place."""
+    keyed = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", near_dedup.text_key(F.col("text")))
+    links = near_dedup.near_links(keyed, keyed.selectExpr("doc_id", "key", "array(7L) AS sketch"), 0.8, rounds)
+    place = {bytes(r.key): r.doc_id for r in keyed.collect()}
+    return sorted(sorted(place[bytes(k)] for k in r.ks) for r in near_dedup.components(links).groupBy("label").agg(F.collect_list("key").alias("ks")).collect())
+
+
+def test_near_dedup_links_settled_texts(spark):
+    """A~B~C~D and no other pair: A leads and settles B, D leads and settles C, and B~C is still found."""
+    for seed in range(1000):
+        chain = [[f"s{seed}w{i}" for i in range(200)]]
+        for step in range(3):
+            chain.append([f"x{step}" if i in range(10 + step * 60, 60 + step * 60, 13) else w for i, w in enumerate(chain[-1])])
+        a, b, c, d = (hashlib.md5(" ".join(x).encode()).digest() for x in chain)
+        if a > d > max(b, c):
+            break
+    runs = [near_dedup.kmers(" ".join(x)) for x in chain]
+    assert [[near_dedup.aligned_similarity(x, y) > 0 for y in runs] for x in runs] == [[abs(i - j) < 2 for j in range(4)] for i in range(4)]
+    assert _links_in_one_bucket(spark, [" ".join(x) for x in chain], 6) == [[0, 1, 2, 3]]
+
+
 def test_aligned_similarity():
     a = near_dedup.kmers(" ".join(f"w{i}" for i in range(100)))
     assert near_dedup.aligned_similarity(a, a) == 1.0
