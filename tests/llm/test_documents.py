@@ -311,6 +311,15 @@ def test_near_dedup_links_settled_texts(spark):
     assert _links_in_one_bucket(spark, [" ".join(x) for x in chain], 6) == [[0, 1, 2, 3]]
 
 
+def test_near_dedup_links_short_texts(spark):
+    """Without leaders, texts of 9 to 20 runs that differ in their last word are all linked, and others are not."""
+    texts = []
+    for n in range(9, 21):
+        words = [f"n{n}w{i}" for i in range(n + 4)]
+        texts += [" ".join(words), " ".join(words[:-1] + ["other"])]
+    assert _links_in_one_bucket(spark, [*texts, "a b c", "a b d"], 0) == [[i, i + 1] for i in range(0, len(texts), 2)]
+
+
 def test_aligned_similarity():
     a = near_dedup.kmers(" ".join(f"w{i}" for i in range(100)))
     assert near_dedup.aligned_similarity(a, a) == 1.0
