@@ -318,3 +318,19 @@ def test_empty_metrics(spark):
     df = spark.createDataFrame([], "status string, created_at timestamp, updated_at timestamp")
     row = telemetry.campaign_metrics(df).first()
     assert row.total == 0 and row.average_seconds is None and row.median_seconds is None
+
+
+def test_campaigns_keep_papers_of_other_campaigns(spark):
+    """The same paper in two campaigns stays in both, and one repeated inside a campaign goes."""
+    from litspark.operators.dedup import dedup_groups
+    from litspark.plans.campaign import run_campaigns
+    from litspark.testviews import view
+
+    paper = view(spark, "/root/testdata/sf0.001", "v_papers").orderBy("paper_id").limit(1).drop("paper_id", "pos", "campaign_id", "doi")
+    ids = spark.createDataFrame([(1, 1, 1, "10.1/X"), (2, 2, 1, "10.1/x"), (3, 3, 2, "10.1/x"), (4, 4, None, "10.1/x"), (5, 5, None, "10.1/x")], "paper_id long, pos long, campaign_id long, doi string")
+    papers = ids.crossJoin(paper).withColumn("relevance", F.lit(5))
+    got = {r.paper_id: r.canonical_id for r in dedup_groups(papers, within="campaign_id").collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    texts = ids.select("paper_id", F.lit("# Results\n\nWe found that it is so.").alias("text"))
+    reports = run_campaigns(papers.where("campaign_id is not null"), texts).collect()
+    assert sorted(r.campaign_id for r in reports) == [1, 2]
