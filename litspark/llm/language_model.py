@@ -190,8 +190,8 @@ def _keys(texts: list[list[bytes]], place: _Places) -> tuple[np.ndarray, np.ndar
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Words are counted over every training document, and the network is trained on the counts of all their
-    class triples. log10 P(word) is the network's class given the two classes before it, plus, for a word
+    Words are counted over every training document, and so are their class triples, from whose counts the
+    network is trained by STEPS * BATCH draws at any size. log10 P(word) is the network's class given the two classes before it, plus, for a word
     that is no class by itself, its add-one share of its group. Counts of the ``KNOWN_WORDS`` most frequent
     words are broadcast, those of the others are joined, so no vocabulary has to fit a task. Documents with
     crc32(id) mod 7 = 2 are held out (null ids never). Null texts are one end; repeated rows are scored each;
