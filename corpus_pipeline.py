@@ -43,7 +43,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixed", mixed), ("packed", packed)]
 
-#: The quality ratio, the alignment and the rounding are no SQL: tests hold run() against brute force.
+#: The quality ratio, the alignment and the rounding are no SQL: tests hold exact and near to brute force
+#: and run() to the documents that quality keeps; mixed and packed are tested by their operators only.
 ORACLE_SQL = None
 
 
