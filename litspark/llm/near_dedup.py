@@ -17,7 +17,7 @@ SIMILARITY = 0.8
 SKETCHES, ORDERED = 20, 3
 SEED = 6
 #: Rounds of leaders in a bucket, before texts of different labels are aligned.
-ROUNDS = 6
+ROUNDS = 2
 #: Up to so many keys (16 bytes and an id each) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 MEMO_WORDS = 300_000
@@ -126,11 +126,18 @@ def text_key(text: Column) -> Column:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n, sketch): n is the number of the text's runs."""
+
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "key": frame["key"], "sketch": [order_sketch(kmers(t)) for t in frame["text"]]})
+            runs, found = [], []
+            for text in frame["text"]:
+                labelled = kmers(text)
+                runs.append(len(labelled))
+                found.append(order_sketch(labelled))
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "key": frame["key"], "n": runs, "sketch": found})
 
-    return docs.mapInPandas(sketch, "doc_id long, key binary, sketch array<long>")
+    return docs.mapInPandas(sketch, "doc_id long, key binary, n int, sketch array<long>")
 
 
 def _texts_of(keyed: DataFrame, keys: DataFrame) -> DataFrame:
@@ -143,19 +150,23 @@ def _texts_of(keyed: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) with their similarity, 0 where it is below ``least``."""
+    """The pairs (a, b) with their similarity, 0 where it is below ``least``; several pairs may share a ``b``.
+
+    Rows reach a worker by ``b``, whose runs are worked out once; a ``b`` of very many pairs may be split among tasks.
+    """
 
     def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, of_last = None, None
         for frame in frames:
             found = []
-            for a, left, right in zip(frame["a"], frame["left"], frame["right"], strict=True):
-                if a != last:
-                    last, of_last = a, kmers(left)
-                found.append(aligned_similarity(of_last, kmers(right), least))
+            for b, left, right in zip(frame["b"], frame["left"], frame["right"], strict=True):
+                if b != last:
+                    last, of_last = b, kmers(right)
+                found.append(aligned_similarity(kmers(left), of_last, least))
             yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "similarity": found})
 
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("right")), "b")
+    left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
+    both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("right")), "b")
     return cut(both.select("a", "b", "left", "right").mapInPandas(align, "a binary, b binary, similarity double").distinct())
 
 
@@ -164,7 +175,11 @@ def _close_pairs(texts: DataFrame, least: float) -> DataFrame:
 
     Runs are ordered by how few of the texts have them. Two texts of n and m runs with
     M / (n + m - M) >= least have least * n runs in common, so the first of these is among the first
-    n - least * n + 1 of each, and from it on both have the M = (n + m) * least / (1 + least) runs they need.
+    n - least * n + 1 of each, and from it on both have the M = (n + m) * least / (1 + least) runs they need. So a
+    text with A runs from a place on meets there only texts of A * (1 + least) / least - n runs or fewer (its reach).
+    Texts whose reach is less than the shortest, or that no reach includes, leave a run before any two are paired,
+    and so do runs that only one label is left in. Pairs are of a text outside a run's commonest label with any other,
+    so members of one class, however large, are not paired.
     """
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,57 +198,65 @@ def _close_pairs(texts: DataFrame, least: float) -> DataFrame:
     first = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - own).cast("int")
     rows = rows.select("nth", "key", "label", "n").join(common, "nth").select("key", "label", "n", F.size("common").alias("size"), F.when(first > 0, F.slice("common", 1, first)).alias("first"))
     rows = rows.select("key", "label", "n", "size", F.posexplode("first").alias("place", "of"))
-    rows = cut(rows.select(F.col("of.run").alias("run"), "key", "label", "n", (F.col("size") - F.col("place")).alias("ahead")))
-    other = rows.select("run", *[F.col(c).alias(f"{c}_b") for c in ("key", "label", "n", "ahead")])
-    enough = F.least("ahead", "ahead_b") * (1 + least) >= (F.col("n") + F.col("n_b")) * least - 1e-9
-    pairs = rows.alias("l").join(other.alias("r"), (F.col("l.run") == F.col("r.run")) & (F.col("key") < F.col("key_b")) & (F.col("label") != F.col("label_b")) & enough)
-    return pairs.select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
+    reach = (F.col("size") - F.col("place")) * (1 + least) / least - F.col("n") + 1e-9
+    rows = cut(rows.select(F.col("of.run").alias("run"), "key", "label", "n", reach.alias("reach")))
+    ends = rows.groupBy("run").agg(F.min("n").alias("shortest"), F.max("reach").alias("longest"))
+    rows = rows.join(ends, "run").where("reach >= shortest and n <= longest").drop("shortest", "longest")
+    of_label = rows.groupBy("run", "label").agg(F.count("*").alias("texts"))
+    usual = of_label.groupBy("run").agg(F.max_by("label", F.struct("texts", "label")).alias("usual"), F.count("*").alias("labels")).where("labels > 1")
+    rows = cut(rows.join(usual.drop("labels"), "run"))
+    rare = rows.where("label <> usual").drop("usual")
+    other = rows.select("run", *[F.col(c).alias(f"{c}_b") for c in ("key", "label", "n", "reach")], (F.col("label") == F.col("usual")).alias("usual_b"))
+    met = (F.col("label") != F.col("label_b")) & (F.col("n") <= F.col("reach_b")) & (F.col("n_b") <= F.col("reach"))
+    pairs = rare.join(other, "run").where(met & (F.col("usual_b") | (F.col("key") < F.col("key_b"))))
+    return pairs.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
 
 
 def near_links(keyed: DataFrame, sketched: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """Verified links (a, b) between texts (keys), enough of them to join all of a class.
 
     Texts with one sketch in common meet in a bucket. In each, the text that meets most others in all its
-    buckets leads (a group's original meets more than its copies do) and is aligned with every other one; those
-    it is similar to are settled there. Next leads the one that meets most after it, settled or not, and is
-    aligned with those still open, and so on: a group of copies costs a few alignments a member. What is
-    linked after ``rounds`` gets one label. Then all texts, settled or not, of buckets with several labels are
-    aligned with those of other labels, but for pairs that cannot be similar enough.
+    buckets leads (a group's original meets more than its copies do) and is aligned with every other one. What is
+    linked gets one label. In the next round the text that meets most after it leads in each bucket of several labels
+    and is aligned with those of other labels: a group of copies costs a few alignments a member. At last all
+    texts of buckets with several labels, linked or not, are aligned with those of other labels, but for pairs that
+    cannot be similar enough.
     """
-    reps = cut(sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
-    members = reps.select("key", F.posexplode("sketch").alias("nth", "value")).select("key", F.xxhash64("nth", "value").alias("bucket"))
+    reps = cut(sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    members = reps.select("key", "n", F.posexplode("sketch").alias("nth", "value")).select("key", "n", F.xxhash64("nth", "value").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(members.join(sizes, "bucket"))
     meets = members.groupBy("key").agg(F.sum("size").alias("meets"))
-    every = cut(members.drop("size").join(meets, "key").select("key", "bucket", "meets"))
-    texts = _texts_of(keyed, every.select("key").distinct().join(reps.select("key", "rep"), "key"))
-    tried = keyed.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
+    rows = cut(members.join(meets, "key").select("bucket", "key", "n", "meets", F.lit(False).alias("led")))
+    texts = _texts_of(keyed, meets.select("key").join(reps.select("key", "rep"), "key"))
 
-    may_lead = open_ = every
-    pair = [F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")]
+    spark = keyed.sparkSession
+    tried = spark.createDataFrame([], "a binary, b binary, similarity double")
+    labels = spark.createDataFrame([], "key binary, label binary")
+    alike = F.least("n", "leader.n") >= F.greatest("n", "leader.n") * least - 1e-9
     for _ in range(rounds):
-        led = may_lead.groupBy("bucket").agg(F.max_by("key", F.struct("meets", "key")).alias("leader"))
-        met = cut(open_.join(led, "bucket").select("bucket", "key", "meets", "leader", *pair))
-        pairs = cut(met.where("key <> leader").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            tried = tried.unionByName(_verified(pairs, texts, least))
-        # the first leader of a bucket has no other to be settled by, but has met all
-        still = met.where("key <> leader" if open_ is every else "true")
-        open_ = cut(still.join(tried.where("similarity > 0"), ["a", "b"], "left_anti").select("key", "bucket", "meets"))
-        if open_.isEmpty():
-            break
-        may_lead = may_lead.join(led.select("bucket", F.col("leader").alias("key")), ["bucket", "key"], "left_anti")
-        may_lead = cut(may_lead.join(open_.select("bucket").distinct(), "bucket", "left_semi"))
-        # a bucket whose members have all led has no pair left
-        open_ = open_.join(may_lead.select("bucket").distinct(), "bucket", "left_semi")
-    labels = components(tried.where("similarity > 0"))
-    labelled = every.join(labels, "key", "left").select("key", "bucket", F.coalesce("label", "key").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    apart = labelled.join(mixed, "bucket", "left_semi").select("key", "label").distinct()
-    pairs = cut(_close_pairs(texts.join(apart, "key"), least).join(tried, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        tried = tried.unionByName(_verified(pairs, texts, least))
-    return tried.where("similarity > 0")
+        rows = _of_mixed(rows, labels)
+        led = rows.where("not led").groupBy("bucket").agg(F.max_by(F.struct("key", "n", "label"), F.struct("meets", "key")).alias("leader"))
+        rows = cut(rows.join(led, "bucket"))
+        pairs = rows.where((F.col("label") != F.col("leader.label")) & alike).select(F.col("key").alias("a"), F.col("leader.key").alias("b")).distinct()
+        tried = tried.unionByName(_verified(_untried(pairs, tried), texts, least))
+        labels = components(tried.where("similarity > 0"))
+        rows = rows.select("bucket", "key", "n", "meets", (F.col("led") | (F.col("key") == F.col("leader.key"))).alias("led"))
+    apart = _of_mixed(rows, labels).select("key", "label").distinct()
+    pairs = cut(_untried(_close_pairs(texts.join(apart, "key"), least), tried))
+    return tried.unionByName(_verified(pairs, texts, least)).where("similarity > 0")
+
+
+def _of_mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several labels, with each text's label (its own key where it has none)."""
+    rows = rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return rows.join(mixed.select("bucket"), "bucket")
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    both = tried.select("a", "b").union(tried.select("b", "a"))
+    return pairs.join(both, ["a", "b"], "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,8 +300,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class, with the same columns."""
-    gone = near_dedup(docs, id_col, text_col, least).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("key").alias("__gone_key"))
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": text_key(text_or_empty(text_col))})
-    stay = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__key") == F.col("__gone_key")), "left_anti")
-    return stay.dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    """``docs`` with one document of each class, with the same columns, whatever their names.
+
+    Null and empty texts are one class; of repeated rows of one id and text one stays (any of them, where they differ in
+    other columns); ties as in ``near_dedup``; an empty table stays empty.
+    """
+    found = near_dedup(docs, id_col, text_col, least)
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_key(text_or_empty(text_col)).alias("key"))
+    stay = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    if not found.where("kept").groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["id", "key"])
+    return stay.select("row.*")

@@ -292,7 +292,7 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch):
 def _links_in_one_bucket(spark, texts, rounds):
     """Components of texts that all share their only sketch, by place."""
     keyed = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", near_dedup.text_key(F.col("text")))
-    links = near_dedup.near_links(keyed, keyed.selectExpr("doc_id", "key", "array(7L) AS sketch"), 0.8, rounds)
+    links = near_dedup.near_links(keyed, near_dedup._sketched(keyed).withColumn("sketch", F.array(F.lit(7).cast("long"))), 0.8, rounds)
     place = {bytes(r.key): r.doc_id for r in keyed.collect()}
     return sorted(sorted(place[bytes(k)] for k in r.ks) for r in near_dedup.components(links).groupBy("label").agg(F.collect_list("key").alias("ks")).collect())
 
