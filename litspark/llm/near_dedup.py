@@ -239,12 +239,18 @@ def near_links(keyed: DataFrame, sketched: DataFrame, least: float = SIMILARITY,
         led = rows.where("not led").groupBy("bucket").agg(F.max_by(F.struct("key", "n", "label"), F.struct("meets", "key")).alias("leader"))
         rows = cut(rows.join(led, "bucket"))
         pairs = rows.where((F.col("label") != F.col("leader.label")) & alike).select(F.col("key").alias("a"), F.col("leader.key").alias("b")).distinct()
-        tried = tried.unionByName(_verified(_untried(pairs, tried), texts, least))
-        labels = components(tried.where("similarity > 0"))
+        pairs = cut(_untried(pairs, tried))
+        if not pairs.isEmpty():
+            tried = tried.unionByName(_verified(pairs, texts, least))
+            labels = components(tried.where("similarity > 0"))
         rows = rows.select("bucket", "key", "n", "meets", (F.col("led") | (F.col("key") == F.col("leader.key"))).alias("led"))
+        if rows.isEmpty():
+            break
     apart = _of_mixed(rows, labels).select("key", "label").distinct()
     pairs = cut(_untried(_close_pairs(texts.join(apart, "key"), least), tried))
-    return tried.unionByName(_verified(pairs, texts, least)).where("similarity > 0")
+    if not pairs.isEmpty():
+        tried = tried.unionByName(_verified(pairs, texts, least))
+    return tried.where("similarity > 0")
 
 
 def _of_mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
