@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, text_or_empty
@@ -72,6 +72,16 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return finished.groupBy("doc_id", "text_sha256", "n_blocks", "name").agg(F.sum("n").alias("n"))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per distinct (id, text): doc_id, text_sha256, n, keep_id, group_size, by equal names.
+
+    Sizes and ids are summed up before they are shuffled; the join back on names of many rows may be split by AQE.
+    """
+    named = cut(block_names(docs, id_col, text_col, block_bytes))
+    groups = named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    return named.join(groups, ["n_blocks", "name"]).select("doc_id", "text_sha256", "n", "keep_id", "group_size")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -79,16 +89,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays; of repeated rows with one id and text, one stays. A null id is smaller than any other. An empty
     table gives no rows. Other columns are ignored.
     """
-    named = cut(block_names(docs, id_col, text_col, block_bytes))
-    groups = named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return named.join(groups, ["n_blocks", "name"]).select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256"
-    )
+    rows = _grouped(docs, id_col, text_col, block_bytes).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without exact copies, with the same columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumns({"__id": F.col(id_col), "__sha": F.sha2(ascii_lower(text_or_empty(text_col)).cast("binary"), 256)})
-    stay = keyed.join(kept.select(F.col("__id").alias("__kid"), F.col("__sha").alias("__ksha")), F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__sha") == F.col("__ksha")), "left_semi")
-    return stay.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    """``docs`` without exact copies, with the same columns, whatever their names.
+
+    What stays is decided by names as in ``exact_dedup``; its row is found again by its id and text's SHA-256.
+    Null and empty texts are equal; of repeated rows of one id and text one stays (any of them, where they differ in
+    other columns); an empty table stays empty.
+    """
+    kept = cut(_grouped(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(_row_key("doc_id", F.col("text_sha256")).alias("kept_key"), "n"))
+    sha = F.sha2(ascii_lower(text_or_empty(text_col)).cast("binary"), 256)
+    rows = docs.select(F.struct("*").alias("row"), _row_key(id_col, sha).alias("key"))
+    stay = rows.join(kept.select("kept_key"), F.col("key") == F.col("kept_key"), "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        stay = stay.dropDuplicates(["key"])
+    return stay.select("row.*")
+
+
+def _row_key(id_col: str, other) -> Column:
+    """One value of an id, which may be null, and another value: structs of equal members are equal, null or not."""
+    return F.struct(F.col(id_col).alias("id"), other.alias("of"))

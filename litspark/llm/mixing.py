@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty, word_count
@@ -169,8 +169,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, id_col:
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` with each document as often as the mix takes it, with the same columns."""
-    copies = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).groupBy(F.col("doc_id").alias("__mid"), F.col("tie").alias("__mtie")).agg(F.sum("copies").alias("__copies"))
-    keyed = docs.withColumns({"__id": F.col(id_col), "__tie": F.xxhash64(text_or_empty(text_col))}).dropDuplicates(["__id", "__tie"])
-    taken = keyed.join(copies, F.col("__id").eqNullSafe(F.col("__mid")) & (F.col("__tie") == F.col("__mtie"))).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    """``docs`` with each document as often as the mix takes it, with the same columns, whatever their names.
+
+    Nulls are values like any other; repeated rows of one id, text and source are numbered and taken one by one, so each
+    keeps its own other columns; an empty table stays empty.
+    """
+
+    def numbered(rows: DataFrame, order) -> DataFrame:
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(order)))
+
+    key = lambda id_, tie, source: F.struct(F.col(id_).alias("id"), tie.alias("tie"), F.col(source).alias("source")).alias("key")  # noqa: E731  equal with equal members, null or not
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    taken = numbered(taken.select(key("doc_id", F.col("tie"), "source"), "copies"), F.desc("copies"))
+    rows = numbered(docs.select(F.struct("*").alias("row"), key(id_col, F.xxhash64(text_or_empty(text_col)), source_col)), F.xxhash64("row"))
+    both = rows.join(taken.where("copies > 0"), ["key", "nth"])
+    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
