@@ -20,7 +20,7 @@ SEED = 6
 ROUNDS = 2
 #: Up to so many keys (16 bytes and an id each) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
-MEMO_WORDS = 300_000
+MEMO_WORDS = 30_000
 _TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
