@@ -153,6 +153,6 @@ def render_dashboard(metrics: DataFrame, generated_at: str) -> DataFrame:
     """One row: the report's aggregate part as Markdown."""
     n = lambda name: F.concat(F.lit(f"- **{name.capitalize()}**: "), F.col(name).cast("string"))
     seconds = lambda c, name: F.concat(F.lit(f"- **{name} duration**: "), F.format_string("%.1f", c), F.lit("s"))
-    lines = [F.lit("# Research Engine Campaign Report\n\n_Generated at " + generated_at + "_\n\n## Aggregate Metrics\n"), F.concat(F.lit("- **Total campaigns**: "), F.col("total").cast("string")), *[n(s) for s in STATUSES]]
+    lines = [F.lit("# Campaign Report\n\n_Generated at " + generated_at + "_\n\n## Aggregate Metrics\n"), F.concat(F.lit("- **Total campaigns**: "), F.col("total").cast("string")), *[n(s) for s in STATUSES]]
     lines += [F.when(F.col("average_seconds").isNotNull(), seconds("average_seconds", "Average")), F.when(F.col("median_seconds").isNotNull(), seconds("median_seconds", "Median"))]
     return metrics.select(F.concat_ws("\n", *lines).alias("report"))
