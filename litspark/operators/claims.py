@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import cut
 
 # Shapes of citations.
 AUTHOR_YEAR = r"[A-Z][a-zA-Z\-]+(?:\s+(?:and|et\s+al\.)?\s*[A-Z][a-zA-Z\-]+)*\s*\(\d{4}\)"
 NUMBERED = r"\[\d{1,3}\]"
+#: Characters of the runs that claims and facts meet by.
+GRAM = 4
 DOI = r"10\.\d{4,9}/[-._;()/:\p{L}\p{N}_]+"
 
 
@@ -45,15 +48,33 @@ def extract_citations(docs: DataFrame) -> DataFrame:
 def conflicts(claims: DataFrame, facts: DataFrame) -> DataFrame:
     """(source_id, fact_id, claim): per source and fact the first claim that holds the fact's text or over 0.8 of its words.
 
-    Only claims that share a word with a fact are tried, by a join on words; each counts its shared words.
+    Nulls and blank facts match nothing. Distinct claims and facts meet by what a match must share, so no pair is left
+    out: over 0.8 of n words leave at most n - floor(0.8 n) - 1 of the fact's words out, so one of its n - floor(0.8 n) rarest
+    is in the claim; a claim that holds a fact's text holds its rarest run of ``GRAM`` characters (a shorter fact: its whole
+    text). Rare means in few claims, so common words and runs bring no pairs. Each candidate is then tested.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    f = facts.select("fact_id", F.lower("text").alias("fact"), words(F.col("text")).alias("fw")).where(F.trim("fact") != "")
-    by_fact = f.select("fact_id", "fact", F.size("fw").alias("n"), F.explode("fw").alias("word"))
-    distinct = claims.select("claim").distinct()
-    by_claim = distinct.select("claim", F.explode(words(F.col("claim"))).alias("word"))
-    shared = by_claim.join(by_fact, "word").groupBy("claim", "fact_id", "fact", "n").agg(F.count("*").alias("k"))
-    over = shared.where(F.contains(F.lower("claim"), F.col("fact")) | (F.col("k") / F.col("n") > 0.8)).select("claim", "fact_id")
+    size = lambda c: F.least(F.length(c), F.lit(GRAM))
+    runs = lambda c, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(c, i, k)))
+    f = cut(facts.where(F.trim("text") != "").groupBy(F.lower("text").alias("fact")).agg(F.collect_set("fact_id").alias("ids")).withColumn("fw", words(F.col("fact"))))
+    c = cut(claims.where("claim is not null").select("claim").distinct().select("claim", F.lower("claim").alias("low")))
+
+    def met(of_fact: Column, of_claim: Column, most: Column) -> DataFrame:
+        """(claim, fact) that share one of the ``most`` pieces of the fact that are in the fewest claims."""
+        pieces = f.select("fact", most.alias("most"), F.explode(of_fact).alias("piece"))
+        found = cut(c.select("claim", F.explode(of_claim).alias("piece")).join(pieces.select("piece").distinct(), "piece"))
+        often = found.groupBy("piece").agg(F.count("*").alias("often"))
+        rarest = pieces.join(often, "piece", "left").groupBy("fact", "most").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "piece"))).alias("all"))
+        wanted = rarest.select("fact", F.explode(F.slice("all", 1, F.col("most"))).alias("of")).select("fact", "of.piece")
+        return found.join(wanted, "piece").select("claim", "fact")
+
+    by_word = met(F.col("fw"), words(F.col("claim")), F.size("fw") - F.floor(F.size("fw") * 0.8).cast("int"))
+    lengths = [r.k for r in f.select(size(F.col("fact")).alias("k")).distinct().collect()]
+    grams = F.concat(*[F.when(F.length("low") >= k, runs(F.col("low"), F.lit(k))).otherwise(F.array().cast("array<string>")) for k in sorted(lengths)]) if lengths else F.array().cast("array<string>")
+    by_text = met(runs(F.col("fact"), size(F.col("fact"))), grams, F.lit(1))
+    both = by_word.union(by_text).distinct().join(f, "fact")
+    held = F.size(F.array_intersect(words(F.col("claim")), F.col("fw"))) / F.size("fw") > 0.8
+    over = both.where(F.contains(F.lower("claim"), F.col("fact")) | held).select("claim", F.explode("ids").alias("fact_id"))
     first = claims.join(over, "claim").groupBy("source_id", "fact_id").agg(F.min_by("claim", F.struct("claim_index", "claim")).alias("claim"))
     return first
 

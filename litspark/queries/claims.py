@@ -56,15 +56,15 @@ def _(spark, d):
     return C.extract_citations(view(spark, d, "v_texts")).where("kind = 'numbered'").select("paper_id", "context")
 
 
-_FACTS = "f AS (SELECT p_partkey AS fact_id, lower('claim ' || p_name) AS fact, list_distinct(string_split('claim ' || p_name, ' ')) AS fw FROM part WHERE p_partkey < 20)"
+_FACTS = "f AS (SELECT min(p_partkey) AS fact_id, lower('claim ' || p_name) AS fact, list_distinct(string_split('claim ' || p_name, ' ')) AS fw FROM part GROUP BY p_name)"
 
 
 @query(
     "joi_11_conflicts",
-    f"WITH {_FACTS} SELECT source_id, fact_id, min({{'i': claim_index, 'c': claim}}).c AS claim FROM v_claims, f WHERE contains(lower(claim), fact) OR len(list_intersect(fw, string_split(lower(claim), ' '))) / len(fw) > 0.8 GROUP BY 1, 2",
+    f"WITH {_FACTS}, m AS (SELECT DISTINCT claim, fact_id FROM (SELECT DISTINCT claim FROM v_claims), f WHERE contains(lower(claim), fact) OR len(list_intersect(fw, string_split(lower(claim), ' '))) / len(fw) > 0.8) SELECT source_id, fact_id, min({{'i': claim_index, 'c': claim}}).c AS claim FROM v_claims JOIN m USING (claim) GROUP BY 1, 2",
 )
 def _(spark, d):
-    facts = table(spark, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("fact_id"), F.concat(F.lit("claim "), F.col("p_name")).alias("text"))
+    facts = table(spark, d, "part").groupBy(F.concat(F.lit("claim "), F.col("p_name")).alias("text")).agg(F.min("p_partkey").alias("fact_id"))
     return C.conflicts(view(spark, d, "v_claims"), facts)
 
 

@@ -334,3 +334,46 @@ def test_campaigns_keep_papers_of_other_campaigns(spark):
     texts = ids.select("paper_id", F.lit("# Results\n\nWe found that it is so.").alias("text"))
     reports = run_campaigns(papers.where("campaign_id is not null"), texts).collect()
     assert sorted(r.campaign_id for r in reports) == [1, 2]
+
+
+def test_conflicts_equal_brute_force(spark):
+    """Facts inside words of a claim, short facts, shared words at and over the bound, blank and repeated facts."""
+    from litspark.operators.claims import conflicts
+
+    claims = ["We find accuracy (95%).", "a third-party tool", "one two three four five", "one two three four six", "x", None, "", "ÄB the A"]
+    facts = ["95%", "party", "one two three four seven", "five four three two one", "ONE TWO THREE FOUR SIX", "x", " ", None, "äb", "e", "party", "no such"]
+    c = spark.createDataFrame([(s, i, t) for s in (1, 2) for i, t in enumerate(claims)], "source_id long, claim_index int, claim string")
+    f = spark.createDataFrame(list(enumerate(facts)), "fact_id long, text string")
+
+    def match(claim, fact):
+        if not (fact or "").strip() or claim is None:
+            return False
+        low, words = fact.lower(), set(fact.lower().split())
+        return low in claim.lower() or len(words & set(claim.lower().split())) / len(words) > 0.8
+
+    want = {(s, n, next(t for t in claims if match(t, fact))) for s in (1, 2) for n, fact in enumerate(facts) if any(match(t, fact) for t in claims)}
+    assert {tuple(r) for r in conflicts(c, f).select("source_id", "fact_id", "claim").collect()} == want
+    assert {"95%", "party"} <= {facts[n] for _, n, _ in want}
+    assert conflicts(c, f.limit(0)).count() == 0 and conflicts(c.limit(0), f).count() == 0
+
+
+def test_rubric_rows_of_equal_bounds(spark):
+    from litspark.operators.screen import screen_by_rows
+
+    papers = spark.createDataFrame([(1, {"s": "4"}), (2, {"s": "2"}), (3, {})], "paper_id long, fields map<string,string>")
+    criteria = spark.createDataFrame([("a", "rubric", "s", None, 3.0, 3.0, False, 1.0)], "criteria_set string, kind string, field string, expected boolean, low double, high double, must boolean, weight double")
+    assert {r.paper_id: r.total_score for r in screen_by_rows(papers, criteria).collect()} == {1: 1.0, 2: 1.0, 3: 0.0}
+
+
+def test_every_campaign_is_reported(spark):
+    """A campaign whose papers all fail the screen, or have no text, has a report of zeros."""
+    from litspark.plans.campaign import run_campaigns
+
+    schema = "paper_id long, pos long, campaign_id long, title string, year int, doi string, url string, pdf_url string, abstract string, source string, source_id string, relevance int"
+    papers = spark.createDataFrame([(1, 1, 1, "One", 2020, "10.1/x", None, "https://x.org/1.pdf", "", "arxiv", "1", 5), (2, 2, 2, "Two", 1990, None, None, None, "", "arxiv", "2", None)], schema)
+    papers = papers.withColumn("has_full_text", papers.pdf_url.isNotNull())
+    texts = spark.createDataFrame([(1, "# Results\n\nWe found that it is so and so."), (2, "none")], "paper_id long, text string")
+    facts = spark.createDataFrame([(1, "it is so")], "fact_id long, text string")
+    got = {r.campaign_id: r for r in run_campaigns(papers, texts, facts=facts).collect()}
+    assert (got[1].total_sources, got[1].total_claims, got[1].conflict_count) == (1, 1, 1)
+    assert (got[2].total_sources, got[2].coverage_score, got[2].quality_score) == (0, 0.0, 0.0)

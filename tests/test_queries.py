@@ -12,8 +12,6 @@ from litspark.testviews import TABLES
 
 SMALL = "/root/testdata/sf0.001"
 registry.load()
-#: All-pairs title matching: tested on fixtures in test_operators.py.
-SLOW = {"joi_01b_dedup_pairs_by_title", "joi_02b_dedup_groups_by_title"}
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +38,7 @@ def rows(names, data):
     return sorted((tuple(cell(r[i]) for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(name, spark, duck):
     df = registry.QUERIES[name](spark, SMALL)
     got = df.collect()
