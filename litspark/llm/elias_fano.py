@@ -14,23 +14,25 @@ from pyspark.sql import functions as F
 from .common import scratch, text_or_empty
 from .tokens import encoder, vocabulary_path
 
-MAGIC = b"EFT1"
+MAGIC = b"EFT2"
 HEADER = "<4sBBIQI"  # magic, bytes an id, low bits an end, documents, ids, bytes of high bits
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
 BATCH_TEXTS = 256
+# of each byte, how many ones it has, and the place of its first, second, ... one
+_ONES = np.array([b.bit_count() for b in range(256)], np.int64)
+_PLACES = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
 
 
 class EliasFano:
     """Non-decreasing integers in about 2 + log2(largest / count) bits each.
 
     The low bits of each value are packed; the high parts stand in unary, so the i-th value is the position
-    of the i-th one less i. Positions of every ``SAMPLE``-th one start the search of ``select``.
+    of the i-th one less i. Positions of every ``SAMPLE``-th one are kept and start the search of ``select``.
     """
 
-    def __init__(self, count: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.count, self.low_bits, self.low, self.high = count, low_bits, low, high
-        self._sampled: np.ndarray | None = None
+    def __init__(self, count: int, low_bits: int, low: np.ndarray, high: np.ndarray, sampled: np.ndarray):
+        self.count, self.low_bits, self.low, self.high, self.sampled = count, low_bits, low, high, sampled
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -41,7 +43,7 @@ class EliasFano:
         bits = ((values[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8)
         unary = np.zeros(count + (largest >> low_bits) + 1, np.uint8)
         unary[(values >> low_bits) + np.arange(count)] = 1
-        return cls(count, low_bits, np.packbits(bits.ravel(), bitorder="little"), np.packbits(unary, bitorder="little"))
+        return cls(count, low_bits, np.packbits(bits.ravel(), bitorder="little"), np.packbits(unary, bitorder="little"), np.flatnonzero(unary)[::SAMPLE].astype("<u4"))
 
     def _low(self, which: np.ndarray) -> np.ndarray:
         at = which[:, None] * self.low_bits + np.arange(self.low_bits)
@@ -52,39 +54,41 @@ class EliasFano:
         which = np.arange(self.count)
         return ((ones - which) << self.low_bits) | self._low(which)
 
-    def select(self, i: int) -> int:
-        """The i-th value: from the sampled one before it, whole bytes are skipped by their counts of ones."""
-        if self._sampled is None:
-            self._sampled = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:: SAMPLE].astype(np.uint32)
-        start = int(self._sampled[i // SAMPLE])
-        need, byte = i % SAMPLE, start >> 3
-        here = int(self.high[byte]) >> (start & 7) << (start & 7)
-        while need >= here.bit_count():
-            need -= here.bit_count()
-            byte += 1
-            here = int(self.high[byte])
-        for _ in range(need):
-            here &= here - 1
-        position = byte * 8 + (here & -here).bit_length() - 1
-        return ((position - i) << self.low_bits) | int(self._low(np.array([i]))[0])
+    def select(self, which):
+        """The values at the places ``which`` (an array, or one integer): from the sampled one before each, whole bytes are
+        skipped by their counts of ones."""
+        places = np.atleast_1d(np.asarray(which, np.int64))
+        start = self.sampled[places // SAMPLE].astype(np.int64)
+        byte, need = start >> 3, places % SAMPLE
+        here = self.high[byte].astype(np.int64) >> (start & 7) << (start & 7)
+        short = np.flatnonzero(need >= _ONES[here])
+        while len(short):
+            need[short] -= _ONES[here[short]]
+            byte[short] += 1
+            here[short] = self.high[byte[short]]
+            short = short[need[short] >= _ONES[here[short]]]
+        values = ((byte * 8 + _PLACES[here, need] - places) << self.low_bits) | self._low(places)
+        return int(values[0]) if np.ndim(which) == 0 else values
 
 
 def write_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     ends = EliasFano.encode(np.cumsum(lengths))
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
     head = struct.pack(HEADER, MAGIC, width, ends.low_bits, len(lengths), len(ids), len(ends.high))
-    return b"".join([head, ends.high.tobytes(), ends.low.tobytes(), ids.astype(f"<u{width}").tobytes()])
+    return b"".join([head, ends.sampled.tobytes(), ends.high.tobytes(), ends.low.tobytes(), ids.astype(f"<u{width}").tobytes()])
 
 
 def read_block(block: bytes) -> tuple[np.ndarray, EliasFano]:
     magic, width, low_bits, docs, n_ids, high_bytes = struct.unpack_from(HEADER, block)
     if magic != MAGIC:
         raise ValueError("not a block of a token file")
-    at = struct.calcsize(HEADER)
+    samples = -(-docs // SAMPLE)
+    sampled = np.frombuffer(block, "<u4", samples, struct.calcsize(HEADER))
+    at = struct.calcsize(HEADER) + 4 * samples
     high = np.frombuffer(block, np.uint8, high_bytes, at)
     low_bytes = (docs * low_bits + 7) // 8
     low = np.frombuffer(block, np.uint8, low_bytes, at + high_bytes)
-    return np.frombuffer(block, f"<u{width}", n_ids, at + high_bytes + low_bytes), EliasFano(docs, low_bits, low, high)
+    return np.frombuffer(block, f"<u{width}", n_ids, at + high_bytes + low_bytes), EliasFano(docs, low_bits, low, high, sampled)
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, block_ids: int = BLOCK_IDS) -> None:
@@ -131,7 +135,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 def read_token_files(spark, path: str) -> DataFrame:
     """One row per document of the token files at ``path``: doc_id, start, n_tokens, ids_crc32, shard, block.
 
-    Only counts cross tasks: each shard's blocks are summed, and so are the shards before it.
+    Ends come from ``select`` on the block's stored samples. Only counts cross tasks: each shard's blocks are summed, and so are the shards before it.
     """
     files = spark.read.parquet(path)
 
@@ -139,7 +143,7 @@ def read_token_files(spark, path: str) -> DataFrame:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 ids, ends = read_block(row.bytes)
-                upto = ends.all()
+                upto = ends.select(np.arange(ends.count))
                 starts = np.concatenate([[0], upto[:-1]]).astype(np.int64) if len(upto) else upto
                 wide = ids.astype("<u4")
                 yield pd.DataFrame(
