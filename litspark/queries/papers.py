@@ -72,12 +72,12 @@ def _(spark, d):
 @query(
     "joi_03_snowball",
     """WITH RECURSIVE ways AS (SELECT src, dst FROM v_edges UNION SELECT dst, src FROM v_edges), hops AS (SELECT src, dst FROM ways WHERE dst IN (SELECT p_partkey FROM part)),
-       walk(seed, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 50 = 0 UNION SELECT w.seed, h.dst, w.depth + 1 FROM walk w JOIN hops h ON h.src = w.node WHERE w.depth < 2)
+       walk(seed, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT w.seed, h.dst, w.depth + 1 FROM walk w JOIN hops h ON h.src = w.node WHERE w.depth < 2)
        SELECT seed, node, min(depth)::INT AS depth FROM walk GROUP BY seed, node HAVING min(depth) > 0""",
 )
 def _(spark, d):
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    return graph.snowball(parts.where("node % 50 = 0").select(F.col("node").alias("seed")), view(spark, d, "v_edges"), parts, 2)
+    return graph.snowball(parts.select(F.col("node").alias("seed")), view(spark, d, "v_edges"), parts, 2)
 
 
 @query("joi_04_resolve_fulltext", f"WITH {_RESOLVED} SELECT paper_id, paper_key, full_text_url, resolved_by, is_oa FROM r")

@@ -21,14 +21,14 @@ VIEWS = {
           case when d.doc_id % 3 = 0 then concat('10.5555/X', cast(d.doc_id % 97 as string)) end as doi,
           case when d.doc_id % 5 <> 0 then concat('https://www.', d.source, '.example.org/', cast(d.doc_id % 211 as string), '/') end as url,
           case when d.doc_id % 2 = 0 then concat('https://pdf.example.org/', cast(d.doc_id as string), '.pdf') end as pdf_url,
-          substr(d.text, 1, 1000) as abstract,
+          d.text as abstract,
           case d.doc_id % 4 when 0 then 'semantic_scholar' when 1 then 'crossref' when 2 then 'arxiv' else 'openalex' end as source,
           cast(d.doc_id as string) as source_id, cast(d.n_chars % 100 as int) as citation_count, d.doc_id % 10 as campaign_id
         from {documents} d""",
     "v_texts": """
         select d.doc_id as paper_id, d.doc_id % 10 as campaign_id,
           concat('# Paper ', cast(d.doc_id as string), chr(10), chr(10), 'We find that ', substr(d.text, 1, 200), '.', chr(10), chr(10),
-            '## Method', chr(10), substr(d.text, 201, 200), chr(10), '## Data', chr(10), 'See [', cast(d.doc_id % 50 as string), '] and 10.5555/x', cast(d.doc_id % 97 as string), chr(10),
+            '## Method', chr(10), substr(d.text, 201), chr(10), '## Data', chr(10), 'See [', cast(d.doc_id % 50 as string), '] and 10.5555/x', cast(d.doc_id % 97 as string), chr(10),
             '## Results', chr(10), 'Doe (', cast(1990 + d.doc_id % 30 as string), ') suggests that the of and in it.', chr(10)) as text
         from {documents} d""",
     "v_campaigns": """
