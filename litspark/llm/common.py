@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_compact(df: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
+    """As ``cut``, in files of about ``rows_per_file`` rows, but two a core at least: for narrow rows after a shuffle.
+
+    A shuffle of many partitions would else leave as many small files in the shared folder, and each file costs an
+    executor two processes of its own where the folder is a local file system (Hadoop changes modes by ``chmod``). The
+    rows are first worked out in their own partitions and held on the executors' disks; if one is lost meanwhile, they
+    are worked out again.
+    """
+    held = df.persist(StorageLevel.DISK_ONLY)
+    files = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-held.count() // rows_per_file))
+    out = cut(held.coalesce(files))
+    held.unpersist()
+    return out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, text_or_empty
+from .common import ascii_lower, cut_compact, text_or_empty
 
 BLOCK_BYTES = 8192
 NAME_BUCKETS = 65_536
@@ -47,13 +47,13 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = Window.partitionBy("bucket").orderBy("h", "block")
     named = _name(blocks.select("h", "block").distinct(), F.col("h"), ["h", "block"])
     named = named.withColumn("twin", F.coalesce(F.lag("h").over(near) == F.col("h"), F.lit(False)) | F.coalesce(F.lead("h").over(near) == F.col("h"), F.lit(False)))
-    named = cut(named.select("h", "name", "twin", F.when(F.col("twin"), F.col("block")).alias("block")))
+    named = cut_compact(named.select("h", "name", "twin", F.when(F.col("twin"), F.col("block")).alias("block")))
     places = ["doc_id", "text_sha256", "n_blocks", "pos"]
     level = blocks.select(*places, "h").join(named.where("not twin").select("h", "name"), "h").select(*places, "name")
     twins = named.where("twin").select("h", "block", "name")
     if not twins.isEmpty():
         level = level.unionByName(blocks.join(twins, ["h", "block"]).select(*places, "name"))
-    level = cut(level.select(*places, "name", F.col("n_blocks").alias("left"), F.lit(1).cast("long").alias("n")))
+    level = cut_compact(level.select(*places, "name", F.col("n_blocks").alias("left"), F.lit(1).cast("long").alias("n")))
 
     finished = level.where("left = 1").select("doc_id", "text_sha256", "n_blocks", "name", "n")
     longest = level.agg(F.max("left")).first()[0] or 1
@@ -64,9 +64,9 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .groupBy("doc_id", "text_sha256", "n_blocks", (F.floor(F.col("pos") / 2)).cast("int").alias("pos"), F.ceil(F.col("left") / 2).cast("int").alias("left"))
             .agg(F.max(F.when(first, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~first, F.col("name"))), F.lit(-1).cast("long")).alias("b"), F.sum(F.when(first, F.col("n"))).alias("n"))
         )
-        pairs = cut(pairs)
+        pairs = cut_compact(pairs)
         names = _name(pairs.select("a", "b").distinct(), F.xxhash64("a", "b"), ["a", "b"]).select("a", "b", "name")
-        level = cut(pairs.join(names, ["a", "b"]).select(*places, "name", "left", "n"))
+        level = cut_compact(pairs.join(names, ["a", "b"]).select(*places, "name", "left", "n"))
         finished = finished.unionByName(level.where("left = 1").select("doc_id", "text_sha256", "n_blocks", "name", "n"))
         longest = (longest + 1) // 2
     return finished.groupBy("doc_id", "text_sha256", "n_blocks", "name").agg(F.sum("n").alias("n"))
@@ -77,7 +77,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLO
 
     Sizes and ids are summed up before they are shuffled; the join back on names of many rows may be split by AQE.
     """
-    named = cut(block_names(docs, id_col, text_col, block_bytes))
+    named = cut_compact(block_names(docs, id_col, text_col, block_bytes))
     groups = named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
     return named.join(groups, ["n_blocks", "name"]).select("doc_id", "text_sha256", "n", "keep_id", "group_size")
 
@@ -100,7 +100,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null and empty texts are equal; of repeated rows of one id and text one stays (any of them, where they differ in
     other columns); an empty table stays empty.
     """
-    kept = cut(_grouped(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(_row_key("doc_id", F.col("text_sha256")).alias("kept_key"), "n"))
+    kept = cut_compact(_grouped(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(_row_key("doc_id", F.col("text_sha256")).alias("kept_key"), "n"))
     sha = F.sha2(ascii_lower(text_or_empty(text_col)).cast("binary"), 256)
     rows = docs.select(F.struct("*").alias("row"), _row_key(id_col, sha).alias("key"))
     stay = rows.join(kept.select("kept_key"), F.col("key") == F.col("kept_key"), "left_semi")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, text_or_empty
+from .common import ascii_lower, cut, cut_compact, text_or_empty
 
 K = 5
 SIMILARITY = 0.8
@@ -21,6 +21,8 @@ ROUNDS = 2
 #: Up to so many keys (16 bytes and an id each) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 MEMO_WORDS = 30_000
+#: Rows with all runs of a text (some 8 KB each) in a written file.
+ROWS_OF_RUNS = 2_000
 _TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,7 +169,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
     both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("right")), "b")
-    return cut(both.select("a", "b", "left", "right").mapInPandas(align, "a binary, b binary, similarity double").distinct())
+    return cut_compact(both.select("a", "b", "left", "right").mapInPandas(align, "a binary, b binary, similarity double").distinct())
 
 
 def _close_pairs(texts: DataFrame, least: float) -> DataFrame:
@@ -190,7 +192,7 @@ def _close_pairs(texts: DataFrame, least: float) -> DataFrame:
                 yield pd.DataFrame({"key": some["key"].to_numpy(), "label": some["label"].to_numpy(), "n": [len(f) for f in found], "runs": found})
 
     rows = texts.dropDuplicates(["key"]).mapInPandas(runs, "key binary, label binary, n int, runs array<long>")
-    rows = cut(rows.withColumn("nth", F.monotonically_increasing_id()))
+    rows = cut_compact(rows.withColumn("nth", F.monotonically_increasing_id()), ROWS_OF_RUNS)
     each = rows.select("nth", F.explode("runs").alias("run"))
     common = each.join(each.groupBy("run").agg(F.count("*").alias("texts")).where("texts > 1"), "run")
     common = common.groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("texts", "run"))).alias("common"))
@@ -199,12 +201,12 @@ def _close_pairs(texts: DataFrame, least: float) -> DataFrame:
     rows = rows.select("nth", "key", "label", "n").join(common, "nth").select("key", "label", "n", F.size("common").alias("size"), F.when(first > 0, F.slice("common", 1, first)).alias("first"))
     rows = rows.select("key", "label", "n", "size", F.posexplode("first").alias("place", "of"))
     reach = (F.col("size") - F.col("place")) * (1 + least) / least - F.col("n") + 1e-9
-    rows = cut(rows.select(F.col("of.run").alias("run"), "key", "label", "n", reach.alias("reach")))
+    rows = cut_compact(rows.select(F.col("of.run").alias("run"), "key", "label", "n", reach.alias("reach")))
     ends = rows.groupBy("run").agg(F.min("n").alias("shortest"), F.max("reach").alias("longest"))
     rows = rows.join(ends, "run").where("reach >= shortest and n <= longest").drop("shortest", "longest")
     of_label = rows.groupBy("run", "label").agg(F.count("*").alias("texts"))
     usual = of_label.groupBy("run").agg(F.max_by("label", F.struct("texts", "label")).alias("usual"), F.count("*").alias("labels")).where("labels > 1")
-    rows = cut(rows.join(usual.drop("labels"), "run"))
+    rows = cut_compact(rows.join(usual.drop("labels"), "run"))
     rare = rows.where("label <> usual").drop("usual")
     other = rows.select("run", *[F.col(c).alias(f"{c}_b") for c in ("key", "label", "n", "reach")], (F.col("label") == F.col("usual")).alias("usual_b"))
     met = (F.col("label") != F.col("label_b")) & (F.col("n") <= F.col("reach_b")) & (F.col("n_b") <= F.col("reach"))
@@ -222,13 +224,13 @@ def near_links(keyed: DataFrame, sketched: DataFrame, least: float = SIMILARITY,
     texts of buckets with several labels, linked or not, are aligned with those of other labels, but for pairs that
     cannot be similar enough.
     """
-    reps = cut(sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    reps = cut_compact(sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     members = reps.select("key", "n", F.posexplode("sketch").alias("nth", "value")).select("key", "n", F.xxhash64("nth", "value").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(members.join(sizes, "bucket"))
+    members = members.join(sizes, "bucket")
     meets = members.groupBy("key").agg(F.sum("size").alias("meets"))
-    rows = cut(members.join(meets, "key").select("bucket", "key", "n", "meets", F.lit(False).alias("led")))
-    texts = _texts_of(keyed, meets.select("key").join(reps.select("key", "rep"), "key"))
+    rows = cut_compact(members.join(meets, "key").select("bucket", "key", "n", "meets", F.lit(False).alias("led")))
+    texts = _texts_of(keyed, rows.select("key").distinct().join(reps.select("key", "rep"), "key"))
 
     spark = keyed.sparkSession
     tried = spark.createDataFrame([], "a binary, b binary, similarity double")
@@ -237,9 +239,9 @@ def near_links(keyed: DataFrame, sketched: DataFrame, least: float = SIMILARITY,
     for _ in range(rounds):
         rows = _of_mixed(rows, labels)
         led = rows.where("not led").groupBy("bucket").agg(F.max_by(F.struct("key", "n", "label"), F.struct("meets", "key")).alias("leader"))
-        rows = cut(rows.join(led, "bucket"))
+        rows = cut_compact(rows.join(led, "bucket"))
         pairs = rows.where((F.col("label") != F.col("leader.label")) & alike).select(F.col("key").alias("a"), F.col("leader.key").alias("b")).distinct()
-        pairs = cut(_untried(pairs, tried))
+        pairs = cut_compact(_untried(pairs, tried))
         if not pairs.isEmpty():
             tried = tried.unionByName(_verified(pairs, texts, least))
             labels = components(tried.where("similarity > 0"))
@@ -247,7 +249,7 @@ def near_links(keyed: DataFrame, sketched: DataFrame, least: float = SIMILARITY,
         if rows.isEmpty():
             break
     apart = _of_mixed(rows, labels).select("key", "label").distinct()
-    pairs = cut(_untried(_close_pairs(texts.join(apart, "key"), least), tried))
+    pairs = cut_compact(_untried(_close_pairs(texts.join(apart, "key"), least), tried))
     if not pairs.isEmpty():
         tried = tried.unionByName(_verified(pairs, texts, least))
     return tried.where("similarity > 0")
@@ -270,13 +272,13 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels spread over links and then jump to their labels' labels, until none changes.
     """
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("low")).select("key", F.least("key", "low").alias("label")))
+    edges = cut_compact(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = cut_compact(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("low")).select("key", F.least("key", "low").alias("label")))
     while True:
         near = edges.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "key").select("key", F.least("label", "near").alias("next"), "label")
         jump = labels.select(F.col("key").alias("next"), F.col("label").alias("further"))
-        after = cut(spread.join(jump, "next").select("key", F.least("next", "further").alias("label"), (F.least("next", "further") != F.col("label")).alias("changed")))
+        after = cut_compact(spread.join(jump, "next").select("key", F.least("next", "further").alias("label"), (F.least("next", "further") != F.col("label")).alias("changed")))
         labels = after.select("key", "label")
         if after.where("changed").isEmpty():
             return labels
@@ -294,11 +296,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     keyed = rows.withColumn("key", text_key(F.col("text")))
     sketched = cut(_sketched(keyed))
-    links = cut(near_links(keyed, sketched, least).select("a", "b"))
+    links = cut_compact(near_links(keyed, sketched, least).select("a", "b"))
     labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("found_links"))
     placed = sketched.select("doc_id", "key").join(labels.join(degree, "key", "left"), "key", "left")
-    placed = cut(placed.select("doc_id", "key", F.coalesce("label", "key").alias("label"), F.coalesce("found_links", F.lit(0)).cast("long").alias("found_links")))
+    placed = cut_compact(placed.select("doc_id", "key", F.coalesce("label", "key").alias("label"), F.coalesce("found_links", F.lit(0)).cast("long").alias("found_links")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("k"))).alias("first")
     classes = placed.groupBy("label").agg(first, F.count("*").alias("class_size"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.k"))
