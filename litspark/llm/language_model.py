@@ -21,7 +21,7 @@ CONTEXT = 2
 KNOWN_WORDS = 1 << 16
 #: Distinct words one task holds before it passes their counts on.
 HELD_WORDS = 400_000
-WIDTH, NOISE, BATCH, STEPS, RATE, SEED = 24, 32, 2048, 1500, 0.02, 3
+WIDTH, NOISE, STEPS, RATE, SEED = 24, 32, 120, 0.1, 3
 #: The end of a text as a word; words hold no blanks.
 END = b" "
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2"
@@ -71,44 +71,43 @@ class LogBilinear:
 def train(keys: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> LogBilinear:
     """Fit the network to counted (second last, last, next) classes by noise-contrastive estimation.
 
-    Each step draws contexts with their next classes by count and noise by the classes' shares, and tells the
-    two apart: a score counts against log(NOISE * share of the noise). Adam, in a fixed order of draws.
+    Each step tells every counted token of the corpus from ``NOISE`` noise classes, drawn by the classes' shares: a
+    score counts against log(NOISE * share of the class). There are so few classes that noise is taken in expectation,
+    and tokens by their counts, so nothing is sampled: a step's gradient is that of all training tokens. Adam.
     """
     rng = np.random.default_rng(SEED)
     n = CLASSES
-    params = [rng.normal(0, 0.1, (n, WIDTH)), np.stack([np.eye(WIDTH)] * CONTEXT) * 0.5, rng.normal(0, 0.1, (n, WIDTH)), np.zeros(n)]
+    r = rng.normal(0, 0.1, (n, WIDTH))
+    params = [r, np.stack([np.eye(WIDTH)] * CONTEXT) * 0.5, rng.normal(0, 0.1, (n, WIDTH)), np.zeros(n)]
     if not len(keys):
         return LogBilinear(*params)
-    far, last, target = keys // (n * n), keys // n % n, keys % n
-    share = np.bincount(target, counts, n) + 1.0
+    seen = np.bincount(keys, counts, n**3).reshape(n * n, n)
+    share = seen.sum(axis=0) + 1.0
     share /= share.sum()
     params[3] = np.log(share)
-    log_noise = np.log(NOISE * share)
-    upto = np.cumsum(counts) / counts.sum()
+    log_noise = np.log(NOISE * share).astype(np.float32)
+    seen /= seen.sum()
+    both = (seen + NOISE * seen.sum(axis=1, keepdims=True) * share).astype(np.float32)
+    seen = seen.astype(np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    one = np.eye(n)
     for step in range(1, steps + 1):
         r, c, q, b = params
-        pick = np.minimum(np.searchsorted(upto, rng.random(BATCH)), len(keys) - 1)
-        context = [last[pick], far[pick]]
-        seen = [r[k] for k in context]
-        predicted = sum(s @ m.T for s, m in zip(seen, c, strict=True))
-        t = target[pick]
-        noise = rng.choice(n, NOISE, p=share)
-        good = (predicted * q[t]).sum(axis=1) + b[t] - log_noise[t]
-        bad = predicted @ q[noise].T + b[noise] - log_noise[noise]
-        g_good = (1 / (1 + np.exp(-good)) - 1) / BATCH
-        g_bad = 1 / (1 + np.exp(-bad)) / BATCH
-        g_predicted = g_good[:, None] * q[t] + g_bad @ q[noise]
-        pool = one[t].T
-        g_q = pool @ (g_good[:, None] * predicted)
-        g_b = pool @ g_good
-        np.add.at(g_q, noise, g_bad.T @ predicted)
-        np.add.at(g_b, noise, g_bad.sum(axis=0))
-        g_c = np.stack([g_predicted.T @ s for s in seen])
-        g_r = sum(one[k].T @ (g_predicted @ m) for k, m in zip(context, c, strict=True))
+        near = [(r @ m.T).astype(np.float32) for m in c]
+        predicted = (near[1][:, None, :] + near[0][None, :, :]).reshape(-1, WIDTH)
+        q32 = q.astype(np.float32)
+        error = predicted @ q32.T
+        error += b.astype(np.float32) - log_noise
+        np.minimum(-error, 80, out=error)
+        np.exp(error, out=error)
+        error += 1
+        np.divide(both, error, out=error)
+        error -= seen
+        g_predicted = (error @ q32).reshape(n, n, WIDTH)
+        g_near = [g_predicted.sum(axis=0, dtype=np.float64), g_predicted.sum(axis=1, dtype=np.float64)]
+        g_c = np.stack([g.T @ r for g in g_near])
+        g_r = sum(g @ m for g, m in zip(g_near, c, strict=True))
         rate = RATE * (1 - 0.9 * step / steps)
-        for i, g in enumerate((g_r, g_c, g_q, g_b)):
+        for i, g in enumerate((g_r, g_c, error.T @ predicted, error.sum(axis=0))):
             m, v = moments[i]
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
@@ -191,8 +190,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are counted over every training document, and so are their class triples, from whose counts the
-    network is trained by STEPS * BATCH draws at any size. log10 P(word) is the network's class given the two classes before it, plus, for a word
-    that is no class by itself, its add-one share of its group. Counts of the ``KNOWN_WORDS`` most frequent
+    network is trained: each of its steps weighs every training token. log10 P(word) is the network's class given
+    the two classes before it, plus, for a word that is no class by itself, its add-one share of its group. Counts of the ``KNOWN_WORDS`` most frequent
     words are broadcast, those of the others are joined, so no vocabulary has to fit a task. Documents with
     crc32(id) mod 7 = 2 are held out (null ids never). Null texts are one end; repeated rows are scored each;
     an empty table gives no rows; without training documents every count is 0.

@@ -205,6 +205,35 @@ def _lm_words(text):
     return WORD.findall(lower(text)) + ["</end>"]
 
 
+def _lm_classes(training):
+    """Words counted, their classes, and training tokens as counted class triples, word by word."""
+    c = Counter(w for words in training for w in words)
+    own = {w: k for k, w in enumerate(sorted(c, key=lambda w: (-c[w], b" " if w == "</end>" else w.encode()))[:64])}
+    assert "</end>" in own
+    of = lambda w: own[w] if w in own else 64 + zlib.crc32(w.encode()[-2:]) % 64
+    return c, own, of
+
+
+def _lm_keys(words, of):
+    ks = [of("</end>")] * 2 + [of(w) for w in words]
+    return [(a * 128 + b) * 128 + k for a, b, k in zip(ks, ks[1:], ks[2:])]  # noqa: B905
+
+
+def _lm_scores(texts, training):
+    """Brute force: each text's log10 probability, summed token by token from the network's own probabilities."""
+    import numpy as np
+
+    c, own, of = _lm_classes(training)
+    triples = sorted(Counter(k for words in training for k in _lm_keys(words, of)).items())
+    table = language_model.train(np.array([k for k, _ in triples]), np.array([float(n) for _, n in triples])).log10_table().reshape(-1)
+    size = Counter()
+    for w in c:
+        if w not in own:
+            size[of(w)] += c[w] + 1
+    share = lambda w: 0.0 if w in own else math.log10((c[w] + 1) / (size[of(w)] + 1))
+    return [sum(table[k] + share(w) for k, w in zip(_lm_keys(words, of), words, strict=True)) for words in texts]
+
+
 def test_language_model(spark, monkeypatch):
     monkeypatch.setattr(language_model, "KNOWN_WORDS", 500)  # most words go through the join
     rows = documents() + ODD[:4] + [(None, "the the", None)]
@@ -220,6 +249,10 @@ def test_language_model(spark, monkeypatch):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    texts = [_lm_words(t) for _, t, _ in rows]
+    scores = _lm_scores(texts, [w for w, (i, _, _) in zip(texts, rows, strict=True) if not held(i)])
+    plain = Counter((i, len(w), round(s, 3)) for (i, _, _), w, s in zip(rows, texts, scores, strict=True))
+    assert Counter((r.doc_id, r.n_tokens, round(r.score, 3)) for r in got) == plain
     assert language_model.score_documents(frame(spark, [])).count() == 0
 
 
@@ -234,6 +267,27 @@ def test_log_bilinear_is_normalised_and_learns():
     assert table[1 * k + 2, 3] > 0.5 and table[1 * k + 4, 5] > 0.5
 
 
+def test_log_bilinear_on_held_out_documents():
+    """Mean log10 probability of a held-out token's class: over those of add-one unigrams and bigrams of classes."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    out = [zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows]
+    texts = [_lm_words(r["text"]) for r in rows]
+    _, _, of = _lm_classes([w for w, o in zip(texts, out, strict=True) if not o])
+    counts = {o: Counter(k for w, x in zip(texts, out, strict=True) if x == o for k in _lm_keys(w, of)) for o in (False, True)}
+    keys, n = np.array(list(counts[False])), np.array(list(counts[False].values()), float)
+    held, m = np.array(list(counts[True])), np.array(list(counts[True].values()), float)
+    unigram = np.bincount(keys % 128, n, 128) + 1
+    bigram = np.bincount(keys % 128**2, n, 128**2).reshape(128, 128) + 1
+    mean = lambda logs: float((logs * m).sum() / m.sum())
+    by_unigram = mean(np.log10(unigram / unigram.sum())[held % 128])
+    by_bigram = mean(np.log10(bigram / bigram.sum(axis=1, keepdims=True)).reshape(-1)[held % 128**2])
+    by_network = mean(language_model.train(keys, n).log10_table().reshape(-1)[held])
+    assert by_network > by_bigram > by_unigram
+
+
 def _near_classes(rows):
     """Brute force: documents joined by aligned similarity of all pairs of texts."""
     keys = {}
