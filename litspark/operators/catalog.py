@@ -160,6 +160,19 @@ def delete_sources(catalog: DataFrame, tags: DataFrame, ids: DataFrame) -> tuple
     return catalog.join(gone, "source_id", "left_anti"), tags.join(gone, "source_id", "left_anti")
 
 
+def removed_counts(catalog: DataFrame, tags: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """One row: sources and tags that ``delete_sources`` takes away, or, without ids, that the catalogue holds."""
+    if ids is not None:
+        gone = ids.select("source_id").distinct()
+        catalog, tags = catalog.join(gone, "source_id", "left_semi"), tags.join(gone, "source_id", "left_semi")
+    return catalog.agg(F.count("*").alias("sources")).join(F.broadcast(tags.agg(F.count("*").alias("tags"))))
+
+
+def clear_catalog(catalog: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The catalogue and its tags without rows, and what was removed."""
+    return catalog.limit(0), tags.limit(0), removed_counts(catalog, tags)
+
+
 def source_profiles(sources: DataFrame, tags: DataFrame) -> DataFrame:
     """Each source with its sorted topic and information tags."""
     of = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("tag"))))
@@ -194,6 +207,24 @@ def cache_get(cache: DataFrame, query: str, source: str | None = None, schema: s
     return rows.orderBy(F.desc("cached_at"), "paper_key")
 
 
+def cache_papers(cache: DataFrame, query: str, source: str | None = None, schema: str = "title string, year int") -> DataFrame:
+    """The papers alone of ``cache_get``."""
+    return cache_get(cache, query, source, schema).select("paper.*")
+
+
+def cache_has(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """``wanted`` (query, source; null for any source) with ``cached``: whether the cache holds a row of it."""
+    keys = cache.select("query", "source").distinct()
+    keys = keys.unionByName(keys.select("query", F.lit(None).cast("string").alias("source"))).distinct().toDF("__query", "__source")
+    found = wanted.join(keys, (F.col("query") == F.col("__query")) & F.col("source").eqNullSafe(F.col("__source")), "left")
+    return found.withColumn("cached", F.col("__query").isNotNull()).drop("__query", "__source")
+
+
+def cache_clear(cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cache without rows, and one row with the number of those removed."""
+    return cache.limit(0), cache.agg(F.count("*").alias("removed"))
+
+
 def cache_lookup(plan: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cached papers of the plan's queries, queries to fetch)."""
     keys = ["source", "query"]

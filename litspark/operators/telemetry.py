@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import elapsed_seconds
+from ..functions.text import elapsed_seconds, slugify
 
 # Stages in order, and what telemetry may hold.
 STAGES = ("init", "plan", "discover", "screen", "extract", "adversarial", "evaluate", "deliver", "finalize")
@@ -40,6 +40,17 @@ def telemetry_sanitize(meta: Column) -> Column:
     return F.map_filter(meta, lambda k, _: k.isin(*ALLOWED_KEYS))
 
 
+def telemetry_sanitize_json(meta: Column) -> Column:
+    """A JSON object's allowed keys whose values are strings, numbers or booleans, as a map of strings; else empty."""
+    parsed = F.try_parse_json(meta)
+    held = []
+    for key in ALLOWED_KEYS:
+        value = F.try_variant_get(parsed, f"$.{key}", "variant")
+        scalar = F.regexp_like(F.schema_of_variant(value), F.lit("^(STRING|BIGINT|BOOLEAN|DOUBLE|FLOAT|DECIMAL.*)$"))
+        held.append(F.when(scalar, F.struct(F.lit(key).alias("key"), F.try_variant_get(parsed, f"$.{key}", "string").alias("value"))))
+    return F.map_from_entries(F.array_compact(F.array(*held)))
+
+
 def stage_durations(events: DataFrame) -> DataFrame:
     """(campaign_id, stage_pos, seconds): gaps after each enter of a stage to its next event, negative ones as 0."""
     by = Window.partitionBy("campaign_id", "stage_pos").orderBy("event_id")
@@ -140,7 +151,7 @@ def stage_counts(campaigns: DataFrame) -> DataFrame:
 
 
 def newest_queries(campaigns: DataFrame, most: int = 5) -> DataFrame:
-    return campaigns.orderBy(F.desc("created_at"), "campaign_id").limit(most).select("campaign_id", "query")
+    return campaigns.orderBy(F.desc("created_at"), "campaign_id").limit(most).select("campaign_id", "query", "created_at")
 
 
 def campaign_summaries(campaigns: DataFrame, events: DataFrame) -> DataFrame:
@@ -149,10 +160,50 @@ def campaign_summaries(campaigns: DataFrame, events: DataFrame) -> DataFrame:
     return campaigns.withColumn("duration_seconds", elapsed_seconds(F.col("created_at"), F.col("updated_at"))).join(stages, "campaign_id", "left")
 
 
-def render_dashboard(metrics: DataFrame, generated_at: str) -> DataFrame:
-    """One row: the report's aggregate part as Markdown."""
+def campaign_sections(summaries: DataFrame) -> DataFrame:
+    """(campaign_id, section): each campaign of ``campaign_summaries`` as Markdown, a row each, so that a report of any
+    length is written by as many tasks as it takes, ordered by the writer."""
+    line = lambda name, c: F.concat(F.lit(f"- **{name}**: "), c)
+    named = F.transform(F.map_entries("stage_seconds"), lambda e: F.struct(_stage_name(e["key"]).alias("stage"), e["value"].alias("seconds")))
+    stages = F.transform(F.array_sort(named), lambda s: F.concat(F.lit("  - "), s["stage"], F.lit(": "), F.format_string("%.1f", s["seconds"]), F.lit("s")))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    lines = [
+        F.concat(F.lit("### "), slugify(F.col("query")), F.lit(" ("), F.col("campaign_id").cast("string"), F.lit(")\n")),
+        line("Query", F.col("query")),
+        line("Status", F.col("status")),
+        line("Stage", _stage_name(F.col("stage_pos"))),
+        line("Created", iso("created_at")),
+        line("Updated", iso("updated_at")),
+        line("Duration", F.concat(F.format_string("%.1f", "duration_seconds"), F.lit("s"))),
+        F.when(F.size(stages) > 0, F.concat(F.lit("- **Stage durations**:\n"), F.array_join(stages, "\n"))),
+    ]
+    return summaries.select("campaign_id", F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("section"))
+
+
+def _stage_name(pos: Column) -> Column:
+    return F.get(F.array(*map(F.lit, STAGES)), pos)
+
+
+def _breakdowns(stages: DataFrame, newest: DataFrame) -> DataFrame:
+    """One row: lines of ``stage_counts`` by name and of ``newest_queries``, newest first; both are a few rows."""
+    named = F.struct(_stage_name(F.col("stage_pos")).alias("stage"), F.col("campaigns").cast("string").alias("n"))
+    by_stage = stages.agg(F.transform(F.array_sort(F.collect_list(named)), lambda s: F.concat(F.lit("- "), s["stage"], F.lit(": "), s["n"])).alias("by_stage"))
+    recent = newest.agg(F.array_sort(F.collect_list(F.struct(-F.unix_micros("created_at"), "campaign_id", F.concat(F.lit("- "), F.col("query")).alias("line")))).alias("recent"))
+    return by_stage.join(F.broadcast(recent.select(F.transform("recent", lambda r: r["line"]).alias("recent"))))
+
+
+def render_dashboard(metrics: DataFrame, generated_at: str, stages: DataFrame | None = None, newest: DataFrame | None = None) -> DataFrame:
+    """One row: the report's aggregate part as Markdown, with the breakdowns where ``stages`` and ``newest`` are given.
+
+    Campaigns follow as rows of ``campaign_sections``.
+    """
     n = lambda name: F.concat(F.lit(f"- **{name.capitalize()}**: "), F.col(name).cast("string"))
     seconds = lambda c, name: F.concat(F.lit(f"- **{name} duration**: "), F.format_string("%.1f", c), F.lit("s"))
     lines = [F.lit("# Campaign Report\n\n_Generated at " + generated_at + "_\n\n## Aggregate Metrics\n"), F.concat(F.lit("- **Total campaigns**: "), F.col("total").cast("string")), *[n(s) for s in STATUSES]]
     lines += [F.when(F.col("average_seconds").isNotNull(), seconds("average_seconds", "Average")), F.when(F.col("median_seconds").isNotNull(), seconds("median_seconds", "Median"))]
+    present = F.array_compact(F.array(*[F.when(F.col(s) > 0, F.concat(F.lit(f"- {s}: "), F.col(s).cast("string"))) for s in sorted(STATUSES)]))
+    part = lambda title, found: F.when(F.size(found) > 0, F.concat(F.lit(f"\n### {title}\n\n"), F.array_join(found, "\n")))
+    if stages is not None and newest is not None:
+        metrics = metrics.join(F.broadcast(_breakdowns(stages, newest)))
+        lines += [part("Status Breakdown", present), part("Current Stage Breakdown", F.col("by_stage")), part("Recent Queries", F.col("recent"))]
     return metrics.select(F.concat_ws("\n", *lines).alias("report"))

@@ -128,6 +128,13 @@ def _(spark, d):
     return C.delete_sources(cat, tags, tags.where("tag = 'tag0'"))[0].select("source_id")
 
 
+@query("joi_14b_removed_counts", f"WITH {_CAT} SELECT count(*) AS sources, 2 * count(*) AS tags FROM cat WHERE topic_tag = 'tag0'")
+def _(spark, d):
+    cat = _catalog(spark, d)
+    tags = C.source_tags(cat)
+    return C.removed_counts(cat, tags, tags.where("tag = 'tag0'"))
+
+
 @query("joi_15_source_profiles", f"WITH {_CAT} SELECT source_id, topic_tag AS topics, '' AS informations FROM cat")
 def _(spark, d):
     cat = _catalog(spark, d)
@@ -160,6 +167,23 @@ def _(spark, d):
     return C.cache_get(_cache(spark, d), "q3").select("paper_key", "pos", F.col("paper.year").alias("year"))
 
 
+@query("src_11b_cache_papers", f"WITH {_CACHE} SELECT CAST(1995 + pos % 30 AS INT) AS year FROM c WHERE query = 'q3' AND pos % 5 <> 0")
+def _(spark, d):
+    return C.cache_papers(_cache(spark, d), "q3").select("year")
+
+
+@query("src_11c_cache_has", f"WITH {_CACHE}, w AS (SELECT DISTINCT query, s AS source FROM c, (VALUES ('arxiv'), ('none'), (NULL)) v(s)) SELECT query, source, EXISTS (SELECT 1 FROM c WHERE c.query = w.query AND (w.source IS NULL OR c.source = w.source)) AS cached FROM w")
+def _(spark, d):
+    cache = _cache(spark, d)
+    sources = F.array(F.lit("arxiv"), F.lit("none"), F.lit(None).cast("string"))
+    return C.cache_has(cache.select("query").distinct().withColumn("source", F.explode(sources)), cache)
+
+
+@query("src_11d_cache_clear", f"WITH {_CACHE} SELECT count(*) AS removed FROM c")
+def _(spark, d):
+    return C.cache_clear(_cache(spark, d))[1]
+
+
 @query("joi_06_cache_lookup", f"WITH {_CACHE}, plan AS (SELECT 'q' || k AS query, s AS source FROM range(10) r(k), (VALUES ('arxiv'), ('serp')) v(s)) SELECT query, source, false AS cached, 1::BIGINT AS n FROM plan p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.query = p.query AND c.source = p.source) UNION ALL SELECT query, source, true, count(*) FROM c WHERE source = 'arxiv' GROUP BY 1, 2")
 def _(spark, d):
     plan = spark.range(10).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("query"), F.explode(F.array(F.lit("arxiv"), F.lit("serp"))).alias("source"))

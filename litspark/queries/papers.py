@@ -190,6 +190,12 @@ def _(spark, d):
     return canonical.unionByName(more).orderBy("late", "pos").limit(50).select("paper_id")
 
 
+@query("srt_07b_resolve_budget", "SELECT campaign_id, paper_id, row_number() OVER (PARTITION BY campaign_id ORDER BY CASE WHEN paper_id % 3 = 0 THEN 0 ELSE 1 END, pos) AS rank FROM v_papers QUALIFY rank <= 50")
+def _(spark, d):
+    p = view(spark, d, "v_papers")
+    return resolve.resolve_budget(p.where("paper_id % 3 = 0"), p.where("paper_id % 3 <> 0"), 50).select("campaign_id", "paper_id", "rank")
+
+
 @query("str_01b_paper_keys_distinct", "SELECT count(DISTINCT coalesce(lower(doi), lower(url), lower(trim(title)) || '::' || coalesce(year::VARCHAR, 'None'))) AS n FROM v_papers")
 def _(spark, d):
     p = view(spark, d, "v_papers")

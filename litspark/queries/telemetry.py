@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import telemetry as T
+from ..operators.resolve import discovery_counters
 from ..registry import query
 from ..testviews import view
 
@@ -113,7 +114,7 @@ def _(spark, d):
 
 @query("agg_09c_newest_queries", "SELECT campaign_id, query FROM v_campaigns ORDER BY created_at DESC, campaign_id LIMIT 5")
 def _(spark, d):
-    return T.newest_queries(view(spark, d, "v_campaigns"))
+    return T.newest_queries(view(spark, d, "v_campaigns")).drop("created_at")
 
 
 @query("agg_10_campaign_summaries", f"WITH {_DUR}, m AS (SELECT campaign_id, round(sum(seconds), 3) AS in_stages, count(*) AS n_stages FROM dur GROUP BY 1) SELECT c.campaign_id, greatest(0.0, {_S.format(a='created_at', b='updated_at')}) AS duration_seconds, coalesce(in_stages, 0.0) AS in_stages, coalesce(n_stages, 0) AS n_stages FROM v_campaigns c LEFT JOIN m ON m.campaign_id = c.campaign_id")
@@ -125,11 +126,41 @@ def _(spark, d):
 
 @query("agg_11_render_dashboard")
 def _(spark, d):
-    return T.render_dashboard(T.campaign_metrics(view(spark, d, "v_campaigns")), "2030-01-01T00:00:00+00:00")
+    c = view(spark, d, "v_campaigns")
+    return T.render_dashboard(T.campaign_metrics(c), "2030-01-01T00:00:00+00:00", T.stage_counts(c), T.newest_queries(c))
 
 
-@query("agg_02_discovery_counters", "SELECT campaign_id, count(*) AS raw, count(DISTINCT doi) AS canonical, count(*) FILTER (pdf_url IS NOT NULL) AS resolved, array_to_string(list_sort(list(DISTINCT source) FILTER (source <> 'arxiv')), ',') AS errors FROM v_papers GROUP BY 1")
+@query(
+    "agg_11b_campaign_sections",
+    f"""WITH {_DUR}, n AS (SELECT campaign_id, ['init', 'plan', 'discover', 'screen', 'extract', 'adversarial', 'evaluate', 'deliver', 'finalize'][stage_pos + 1] AS stage, seconds FROM dur),
+        m AS (SELECT campaign_id, string_agg('  - ' || stage || ': ' || format('{{:.1f}}', seconds) || 's', chr(10) ORDER BY stage) AS stages FROM n GROUP BY 1)
+        SELECT c.campaign_id, concat_ws(chr(10), '### ' || replace(query, ' ', '-') || ' (' || c.campaign_id || ')' || chr(10), '- **Query**: ' || query, '- **Status**: ' || status,
+          '- **Stage**: ' || ['init', 'plan', 'discover', 'screen', 'extract', 'adversarial', 'evaluate', 'deliver', 'finalize'][stage_pos + 1],
+          '- **Created**: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S'), '- **Updated**: ' || strftime(updated_at, '%Y-%m-%dT%H:%M:%S'),
+          '- **Duration**: ' || format('{{:.1f}}', greatest(0.0, {_S.format(a='created_at', b='updated_at')})::DOUBLE) || 's', '- **Stage durations**:' || chr(10) || stages) || chr(10) AS section
+        FROM v_campaigns c LEFT JOIN m ON m.campaign_id = c.campaign_id""",
+)
+def _(spark, d):
+    return T.campaign_sections(T.campaign_summaries(view(spark, d, "v_campaigns"), _events(spark, d)))
+
+
+@query("fil_09b_telemetry_sanitize_json", "SELECT event_id, type AS stage, event_id::VARCHAR AS duration_ms, 2 AS n_keys FROM v_events")
+def _(spark, d):
+    e = _events(spark, d)
+    meta = F.concat(F.lit('{"user": 1, "provider": {"k": 1}, "model": [1], "status": null, "stage": "'), e.type, F.lit('", "duration_ms": '), e.event_id.cast("string"), F.lit("}"))
+    m = F.col("m")
+    return e.withColumn("m", T.telemetry_sanitize_json(meta)).select("event_id", m["stage"].alias("stage"), m["duration_ms"].alias("duration_ms"), F.size(m).alias("n_keys"))
+
+
+@query(
+    "agg_02_discovery_counters",
+    """WITH e AS (SELECT src % 10 AS campaign_id, count(*) AS snowball FROM v_edges GROUP BY 1),
+       p AS (SELECT campaign_id, count(*) AS raw, count(DISTINCT doi) AS canonical, count(*) FILTER (pdf_url IS NOT NULL) AS resolved, array_to_string(list_sort(list(DISTINCT source) FILTER (source <> 'arxiv')), ',') AS errors FROM v_papers GROUP BY 1)
+       SELECT campaign_id, coalesce(raw, 0) AS raw, coalesce(canonical, 0) AS canonical, coalesce(snowball, 0) AS snowball, coalesce(resolved, 0) AS resolved, coalesce(errors, '') AS errors FROM p FULL JOIN e USING (campaign_id)""",
+)
 def _(spark, d):
     p = view(spark, d, "v_papers")
-    errors = F.array_join(F.array_sort(F.collect_set(F.when(p.source != "arxiv", p.source))), ",")
-    return p.groupBy("campaign_id").agg(F.count("*").alias("raw"), F.countDistinct("doi").alias("canonical"), F.count("pdf_url").alias("resolved"), errors.alias("errors"))
+    canonical = p.where("doi is not null").select("campaign_id", "doi").distinct()
+    found = view(spark, d, "v_edges").select((F.col("src") % 10).alias("campaign_id"))
+    failed = p.select("campaign_id", "source", F.when(p.source != "arxiv", "timeout").alias("error"))
+    return discovery_counters(p, canonical, found, p.where("pdf_url is not null"), failed).withColumn("errors", F.array_join("errors", ","))
