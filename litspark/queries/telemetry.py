@@ -134,7 +134,7 @@ def _(spark, d):
     "agg_11b_campaign_sections",
     f"""WITH {_DUR}, n AS (SELECT campaign_id, ['init', 'plan', 'discover', 'screen', 'extract', 'adversarial', 'evaluate', 'deliver', 'finalize'][stage_pos + 1] AS stage, seconds FROM dur),
         m AS (SELECT campaign_id, string_agg('  - ' || stage || ': ' || format('{{:.1f}}', seconds) || 's', chr(10) ORDER BY stage) AS stages FROM n GROUP BY 1)
-        SELECT c.campaign_id, concat_ws(chr(10), '### ' || replace(query, ' ', '-') || ' (' || c.campaign_id || ')' || chr(10), '- **Query**: ' || query, '- **Status**: ' || status,
+        SELECT c.campaign_id, concat_ws(chr(10), '### ' || replace(query, ' ', '_') || ' (' || c.campaign_id || ')' || chr(10), '- **Query**: ' || query, '- **Status**: ' || status,
           '- **Stage**: ' || ['init', 'plan', 'discover', 'screen', 'extract', 'adversarial', 'evaluate', 'deliver', 'finalize'][stage_pos + 1],
           '- **Created**: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S'), '- **Updated**: ' || strftime(updated_at, '%Y-%m-%dT%H:%M:%S'),
           '- **Duration**: ' || format('{{:.1f}}', greatest(0.0, {_S.format(a='created_at', b='updated_at')})::DOUBLE) || 's', '- **Stage durations**:' || chr(10) || stages) || chr(10) AS section
