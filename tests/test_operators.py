@@ -377,3 +377,18 @@ def test_every_campaign_is_reported(spark):
     got = {r.campaign_id: r for r in run_campaigns(papers, texts, facts=facts).collect()}
     assert (got[1].total_sources, got[1].total_claims, got[1].conflict_count) == (1, 1, 1)
     assert (got[2].total_sources, got[2].coverage_score, got[2].quality_score) == (0, 0.0, 0.0)
+
+
+def test_dashboard_breakdowns(spark):
+    rows = [(i, f"q{i}", "running" if i else "completed", i % 2, f"2024-01-0{i + 1}", f"2024-01-0{i + 1}") for i in range(3)]
+    c = spark.createDataFrame(rows, "campaign_id long, query string, status string, stage_pos int, a string, b string")
+    c = c.withColumns({"created_at": F.to_timestamp("a"), "updated_at": F.to_timestamp("b")})
+    report = telemetry.render_dashboard(telemetry.campaign_metrics(c), "now", telemetry.stage_counts(c), telemetry.newest_queries(c)).first().report
+    tail = "### Status Breakdown\n\n- completed: 1\n- running: 2\n\n### Current Stage Breakdown\n\n- init: 2\n- plan: 1\n\n### Recent Queries\n\n- q2\n- q1\n- q0"
+    assert report.endswith("\n\n" + tail)
+
+
+def test_telemetry_json(spark):
+    of = lambda v: one(spark, v, telemetry.telemetry_sanitize_json)
+    assert of('{"stage": "x", "duration_ms": 1.5, "model": true, "provider": [1], "status": {"a": 1}, "user": "u"}') == {"stage": "x", "duration_ms": "1.5", "model": "true"}
+    assert of("{}") == of("not json") == of(None) == {}
