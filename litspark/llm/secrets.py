@@ -24,13 +24,15 @@ CLASSES = (
     ("hex", re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{20,}(?![0-9A-Za-z])"), 20, 3.0),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.7),
 )
-#: Strings that look random and are no secrets.
+#: Candidates that look random and are no secrets, as a whole.
 ALLOWED = (
     re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE),  # UUID
     re.compile(r"[A-Za-z]+(?:[/_=+-]+[A-Za-z]*)*"),  # words, paths and rules without digits
     re.compile(r"[0-9/_=+-]+"),  # numbers and dates
-    re.compile(r".*(?:example|sample|dummy|placeholder|changeme|x{6}|0123456789|abcdef).*", re.IGNORECASE),
 )
+#: Pieces that tell of a made-up string. They count as one repeated character, so a window must be random beside them.
+ALLOWED_PIECE = re.compile(r"example|sample|dummy|placeholder|changeme|x{6}|0123456789|abcdef", re.IGNORECASE)
+MASK = "\0"
 
 
 def high_entropy_spans(text: str, window: int, bits: float) -> list[tuple[int, int]]:
@@ -81,7 +83,8 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
             word = m.group()
             if any(a.fullmatch(word) for a in ALLOWED):
                 continue
-            for a, b in high_entropy_spans(word, window, bits):
+            masked = ALLOWED_PIECE.sub(lambda piece: MASK * len(piece.group()), word)
+            for a, b in high_entropy_spans(masked, window, bits):
                 a, b = a + m.start(), b + m.start()
                 piece = text[a:b]
                 if any(x.isdigit() for x in piece) and any(x.isalpha() for x in piece) and not any(s < b and a < e for s, _, e in base):
@@ -106,7 +109,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Spans are kind:start:end in code points, end exclusive, by start and then kind, joined by commas. The
     base kinds are patterns; ``entropy`` spans are windows over candidate strings of one character class
     whose entropy reaches the class's bound, merged, holding letters and digits, outside base spans, unless
-    the whole candidate is of an allowed shape. One pass without a shuffle over whole texts: null and empty
+    the whole candidate is of an allowed shape; allowed pieces inside it add no entropy to their windows. One pass without a shuffle over whole texts: null and empty
     texts have no spans, repeated rows are scanned each, and an empty table gives no rows.
     """
 
