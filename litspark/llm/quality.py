@@ -79,7 +79,7 @@ def _repeated_words(h3: str) -> Column:
     return F.when(F.size(F.array_distinct(h3)) < F.size(h3), F.element_at(F.transform(F.array(placed), of), 1)).otherwise(0)
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, score.
 
@@ -88,13 +88,15 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     more than half of them in repeated 3-word windows) or score below ``threshold`` are not kept; an equal
     score is. Native: arrays inside the row, one shuffle of ``buckets`` counts; nothing of a document is
     shuffled. Null and empty texts have no words and fail; repeated rows are judged each; an empty table gives
-    no rows; without trusted documents the ratio tells nothing of them, but stays defined. ``carry`` names columns
-    to hand on in a struct ``__carried``.
+    no rows; without trusted documents the ratio tells nothing of them, but stays defined. Columns of any other name are left
+    aside; ``carry`` hands on the whole row in a struct ``__carried``. Windows and buckets are told apart by 64-bit hashes:
+    ``n_repeat_words`` would count two different windows of one text with equal hashes as repeated. A row number that
+    is always 0 or more takes part in ``kept``, so that a filter on it is worked out after the arrays, not in them.
     """
     ratio = log_ratios(docs, trusted, id_col, text_col, buckets)
     # one literal of ``buckets`` doubles, folded once
     weights = F.split(F.lit(",".join(repr(r) for r in ratio)), ",").cast("array<double>")
-    carried = [F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)]).alias("__carried")] if carry else []
+    carried = [F.struct("*").alias("__carried")] if carry else []
     rows = _features(docs, id_col, text_col, *carried).withColumn("h3", _runs("h1", 3)).withColumn("grams", F.concat("h1", "h2"))
     no_space = F.translate("text", SPACE, "")
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -119,6 +121,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` that the rules keep, with the same columns; every other column rides along in the row."""
-    judged = quality_rules(docs, trusted, id_col, text_col, carry=docs.columns, **options)
-    return judged.where("kept").select(*[F.col(f"__carried.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    """``docs`` that the rules keep, with the same columns, whatever their names; the whole row rides along.
+
+    Null and empty texts go; repeated rows are judged each, and so are rows with a null id; an empty table stays empty.
+    """
+    judged = quality_rules(docs, trusted, id_col, text_col, carry=True, **options)
+    return judged.where("kept").select("__carried.*")
