@@ -150,6 +150,11 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
     return dict(sorted(zip(map(bytes, found["word"]), found["c"], strict=True), key=lambda w: (-w[1], w[0])))
 
 
+def class_words(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The ``most`` words with the highest counts (ties by bytes), with them: an exact top-k, merged from each partition's own."""
+    return {bytes(r.word): r.c for r in counts.orderBy(F.desc("c"), "word").limit(most).collect()}
+
+
 def context_counts(rows: DataFrame, places) -> DataFrame:
     """(key, n): how often each class follows each pair of classes; CLASSES**3 keys at most."""
 
@@ -191,8 +196,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are counted over every training document, and so are their class triples, from whose counts the
     network is trained: each of its steps weighs every training token. log10 P(word) is the network's class given
-    the two classes before it, plus, for a word that is no class by itself, its add-one share of its group. Counts of the ``KNOWN_WORDS`` most frequent
-    words are broadcast, those of the others are joined, so no vocabulary has to fit a task. Documents with
+    the two classes before it, plus, for a word that is no class by itself, its add-one share of its group. The words that are classes are
+    the most frequent ones (ties by bytes). Counts of up to ``KNOWN_WORDS`` frequent words are broadcast, those of the others are
+    joined, so no vocabulary has to fit a task, and that bound changes no result. Columns of other names are left aside. Documents with
     crc32(id) mod 7 = 2 are held out (null ids never). Null texts are one end; repeated rows are scored each;
     an empty table gives no rows; without training documents every count is 0.
     """
@@ -200,11 +206,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("held_out", F.coalesce(F.expr(HELD_OUT), F.lit(False)))
     training = rows.where("not held_out")
     counts = cut(word_counts(training))
-    known = frequent_words(counts, KNOWN_WORDS)
-    classes = {w: i for i, w in enumerate(list(known)[:WORD_CLASSES])}
-    if END not in classes:
-        classes = {w: i for i, w in enumerate([END, *list(known)[: WORD_CLASSES - 1]])}
-        known.setdefault(END, 0)
+    top = class_words(counts, WORD_CLASSES)
+    if END not in top:
+        top = {END: 0, **dict(list(top.items())[: WORD_CLASSES - 1])}
+    classes = {w: i for i, w in enumerate(top)}
+    known = frequent_words(counts, KNOWN_WORDS) | top
     group = (F.pmod(F.crc32(F.substring(F.col("word"), -2, 2)), F.lit(GROUPS)) + WORD_CLASSES).cast("int").alias("class")
     own = [bytearray(w) for w in classes]
     sizes = counts.select("c", F.when(F.col("word").isin(own), -1).otherwise(group).alias("class")).groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
