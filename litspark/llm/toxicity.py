@@ -14,6 +14,7 @@ from .common import cut, text_or_empty
 
 #: Labelled documents that the model is fitted on: at most so many of either class, those of lowest hash.
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 8_000
+#: Words and beginnings that the model has weights for, at most: the most significant ones of the sample (a bound of the fit).
 FEATURES = 1_000
 #: A feature is significant if so many standard errors part its log odds in toxic and in other documents.
 LEAST_Z = 4.0
@@ -204,6 +205,9 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     """One row per document: doc_id, severity (expected grade, 0 to 3), p_toxic (of a grade of 1 or more), grade
     (the likeliest), toxic (p_toxic >= the model's cut).
 
+    What ``severity`` means is as good as the grades that the model was fitted on. With labels of 0 and 1 alone it ranks how much of
+    a toxic text is made of words that toxic texts use, which no one has judged; with a column ``grade`` it is the expected judgement.
+
     One pass over whole texts without a shuffle. Null and empty texts have no features; repeated rows are
     scored each; an empty table gives no rows.
     """
