@@ -18,6 +18,10 @@ FAN_IN = 64
 #: A document is heavy if this many of its size exceed its source's target.
 HEAVY = 100
 SEED = 20
+#: Open fractions of a source's heavy documents that are settled together, the smallest ones.
+OPEN = 12
+#: Documents whose copies are all tried where a source has no other way to its target, and how near it is near enough.
+WIDENED, NEAR = 8, 0.001
 #: Fractions this close to an integer are integral.
 EPS = 1e-9
 
@@ -73,7 +77,10 @@ def pivot(size: np.ndarray, part: np.ndarray, rng: np.random.Generator) -> np.nd
 
 
 def settle(size: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """Round the last open fractions of a source (one for each size class) so that their words come nearest to the sum."""
+    """Round the last open fractions of a source (one for each size class) so that their words come nearest to the sum.
+
+    The 16 largest are tried together; a smaller one weighs less than a 2**15th of the largest, and the 16 make up for its rounding.
+    """
     out, open_ = np.round(part), np.flatnonzero((part > EPS) & (part < 1 - EPS))
     if len(open_):
         large = open_[np.argsort(-size[open_], kind="stable")][:16]
@@ -99,8 +106,38 @@ def _root(group: pd.DataFrame) -> pd.DataFrame:
     return _rounded(group, settle)
 
 
-def _heavy(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    return _root(_leaf(key, group))
+def settle_heavy(size: np.ndarray, base: np.ndarray, part: np.ndarray, rng: np.random.Generator, widen: int = 0) -> np.ndarray:
+    """Rounded fractions of a source's heavy documents: all but the ``OPEN`` smallest open ones by pivots, those together.
+
+    With ``widen`` (most copies of a document), and if that leaves the sum off by more than ``NEAR``, the copies of ``WIDENED``
+    documents, from the smallest to the largest, are chosen freely, so as to come nearest to the sum, and then nearest to their fractions: a few heavy
+    documents have no sum near a target if each may only be rounded up or down.
+    """
+    wanted = float((size * (base + part)).sum())
+    open_ = np.flatnonzero((part > EPS) & (part < 1 - EPS))
+    early = np.sort(open_[np.argsort(size[open_], kind="stable")][OPEN:])
+    out = part.copy()
+    out[early] = pivot(size[early], part[early], rng)
+    out = settle(size, out)
+    left = wanted - float((size * (base + out)).sum())
+    if widen and abs(left) > NEAR * wanted:
+        free = np.flatnonzero(size > 0)
+        free = free[np.argsort(size[free], kind="stable")]
+        free = free[np.unique(np.linspace(0, len(free) - 1, min(WIDENED, len(free))).round().astype(int))]
+        copies = np.indices((widen + 1,) * len(free)).reshape(len(free), -1).T
+        off = np.abs(copies @ size[free] - float((size[free] * (base + out)[free]).sum()) - left)
+        moved = np.abs(copies - (base + part)[free]) @ size[free]
+        out[free] = copies[np.lexsort((moved, np.round(off, 6)))[0]] - base[free]
+    return out
+
+
+def _heavy(widen: int):
+    def rounded(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng([SEED, zlib.crc32(repr(tuple(int(k) for k in key)).encode())])
+        group = group.sort_values(["doc_id", "tie", "size"], kind="stable", na_position="first").reset_index(drop=True)
+        return group.assign(part=settle_heavy(*(group[c].to_numpy(np.float64) for c in ("size", "base", "part")), rng, widen))
+
+    return rounded
 
 
 def _fractions(rows: DataFrame, plan: DataFrame, heavy: bool, max_repeat: int) -> DataFrame:
@@ -126,7 +163,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, id_col:
     fraction, once more. A source's heavy documents (over 1/``HEAVY`` of its target each, so few) are rounded
     first, and the others make up for what that left over. Fractions are rounded in groups of one source, one
     size class (powers of two) and one bucket of the id's hash, sized to hold about ``LEAF_DOCS`` documents
-    whatever the source's share; each group leaves one open fraction at most, and a tree of groups rounds what
+    whatever the source's share (a source of few heavy documents alone may take some of them more or less often, ``settle_heavy``); each group leaves one open fraction at most, and a tree of groups rounds what
     is left until a source has one for each size class. The draws depend on the groups' names alone, so
     reruns agree on any cluster. Only one row a source comes to the driver. Null ids, sources and texts are
     values like any other (null text: no words); documents without words are taken with 0 words; repeated
@@ -143,9 +180,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, id_col:
     plan = spark.createDataFrame(shares, columns)
     open_ = _fractions(rows, plan, True, max_repeat)
     schema = open_.schema
-    heavy = cut(open_.groupBy("source_no").applyInPandas(_heavy, schema))
+    heavy = cut(open_.groupBy("source_no").applyInPandas(_heavy(0), schema))
     copies = F.col("base") + F.round("part").cast("long")
-    gave = {r.source_no: (r.taken, r.words) for r in heavy.groupBy("source_no").agg(F.sum(copies * F.col("size")).alias("taken"), F.sum("size").alias("words")).collect()}
+
+    def given(rows: DataFrame) -> dict[int, tuple[int, int]]:
+        return {r.source_no: (r.taken, r.words) for r in rows.groupBy("source_no").agg(F.sum(copies * F.col("size")).alias("taken"), F.sum("size").alias("words")).collect()}
+
+    gave = given(heavy)
+    # sources whose light documents, taken not at all or as often as may be, cannot make up for what the heavy ones left
+    bound = [no for no, _, w, t, _, _ in shares if no in gave and not 0 <= t - gave[no][0] <= max_repeat * (w - gave[no][1])]
+    if bound:
+        widened = open_.where(F.col("source_no").isin(bound)).groupBy("source_no").applyInPandas(_heavy(max_repeat), schema)
+        heavy = cut(heavy.where(~F.col("source_no").isin(bound)).unionByName(widened))
+        gave = given(heavy)
     shares = [(no, s, w, t, (t - gave[no][0]) / (w - gave[no][1]) if no in gave and w > gave[no][1] else ratio, b) for no, s, w, t, ratio, b in shares]
     plan = spark.createDataFrame(shares, columns)
     open_ = _fractions(rows, plan, False, max_repeat)
