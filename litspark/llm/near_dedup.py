@@ -172,16 +172,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return cut_compact(both.select("a", "b", "left", "right").mapInPandas(align, "a binary, b binary, similarity double").distinct())
 
 
-def _close_pairs(texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of texts (key, text, label) of different labels that may reach ``least``; no pair that does is left out.
+def _prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """(run, key, n, reach, s1, s2, s3): the runs by which texts (key, text) that may reach ``least`` must meet.
 
     Runs are ordered by how few of the texts have them. Two texts of n and m runs with
     M / (n + m - M) >= least have least * n runs in common, so the first of these is among the first
     n - least * n + 1 of each, and from it on both have the M = (n + m) * least / (1 + least) runs they need. So a
     text with A runs from a place on meets there only texts of A * (1 + least) / least - n runs or fewer (its reach).
-    Texts whose reach is less than the shortest, or that no reach includes, leave a run before any two are paired,
-    and so do runs that only one label is left in. Pairs are of a text outside a run's commonest label with any other,
-    so members of one class, however large, are not paired.
+    Texts whose reach is less than the shortest, or that no reach includes, leave a run before any two are paired.
+    s1 to s3 are runs from the start, the first and the second third of a text's first ones: alike texts agree in them.
     """
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,21 +188,58 @@ def _close_pairs(texts: DataFrame, least: float) -> DataFrame:
             for at in range(0, len(frame), 1000):
                 some = frame.iloc[at : at + 1000]
                 found = [kmers(t).view(np.int64) for t in some["text"]]
-                yield pd.DataFrame({"key": some["key"].to_numpy(), "label": some["label"].to_numpy(), "n": [len(f) for f in found], "runs": found})
+                yield pd.DataFrame({"key": some["key"].to_numpy(), "n": [len(f) for f in found], "runs": found})
 
-    rows = texts.dropDuplicates(["key"]).mapInPandas(runs, "key binary, label binary, n int, runs array<long>")
+    rows = texts.dropDuplicates(["key"]).mapInPandas(runs, "key binary, n int, runs array<long>")
     rows = cut_compact(rows.withColumn("nth", F.monotonically_increasing_id()), ROWS_OF_RUNS)
     each = rows.select("nth", F.explode("runs").alias("run"))
     common = each.join(each.groupBy("run").agg(F.count("*").alias("texts")).where("texts > 1"), "run")
     common = common.groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("texts", "run"))).alias("common"))
     own = F.col("n") - F.size("common")
     first = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - own).cast("int")
-    rows = rows.select("nth", "key", "label", "n").join(common, "nth").select("key", "label", "n", F.size("common").alias("size"), F.when(first > 0, F.slice("common", 1, first)).alias("first"))
-    rows = rows.select("key", "label", "n", "size", F.posexplode("first").alias("place", "of"))
+    rows = rows.select("nth", "key", "n").join(common, "nth").select("key", "n", F.size("common").alias("size"), F.when(first > 0, F.slice("common", 1, first)).alias("first"))
+    marks = [F.get("first", F.floor(F.size("first") * k / 3).cast("int"))["run"].alias(f"s{k + 1}") for k in range(3)]
+    rows = rows.select("key", "n", "size", *marks, F.posexplode("first").alias("place", "of"))
     reach = (F.col("size") - F.col("place")) * (1 + least) / least - F.col("n") + 1e-9
-    rows = cut_compact(rows.select(F.col("of.run").alias("run"), "key", "label", "n", reach.alias("reach")))
+    rows = cut_compact(rows.select(F.col("of.run").alias("run"), "key", "n", reach.alias("reach"), "s1", "s2", "s3"))
     ends = rows.groupBy("run").agg(F.min("n").alias("shortest"), F.max("reach").alias("longest"))
-    rows = rows.join(ends, "run").where("reach >= shortest and n <= longest").drop("shortest", "longest")
+    return cut_compact(rows.join(ends, "run").where("reach >= shortest and n <= longest").drop("shortest", "longest"))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with each text's label, its own key where it has none."""
+    return rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def _neighbours(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels that stand side by side in a run, by s1 to s3: a pair a row at most.
+
+    They join most texts of one form, whose pairs in a run would be very many, before the rest are paired.
+    """
+
+    def beside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for frame in frames:
+            out = []
+            for row in zip(frame["run"], frame["key"], frame["label"], frame["n"], frame["reach"], strict=True):
+                if last and last[0] == row[0] and last[2] != row[2] and last[3] <= row[4] and row[3] <= last[4]:
+                    out.append((min(last[1], row[1]), max(last[1], row[1])))
+                last = row
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    order = ["run", "s1", "s2", "s3", "key"]
+    partitions = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _labelled(prefixes, labels).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    return rows.mapInPandas(beside, "a binary, b binary").distinct()
+
+
+def _close_pairs(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels that share one of their ``_prefixes``; no pair that reaches the similarity is left out.
+
+    Runs that only one label is left in go. Pairs are of a text outside a run's commonest label with any other,
+    so members of one class, however large, are not paired.
+    """
+    rows = _labelled(prefixes.drop("s1", "s2", "s3"), labels)
     of_label = rows.groupBy("run", "label").agg(F.count("*").alias("texts"))
     usual = of_label.groupBy("run").agg(F.max_by("label", F.struct("texts", "label")).alias("usual"), F.count("*").alias("labels")).where("labels > 1")
     rows = cut_compact(rows.join(usual.drop("labels"), "run"))
@@ -220,9 +256,9 @@ def near_links(keyed: DataFrame, sketched: DataFrame, least: float = SIMILARITY,
     Texts with one sketch in common meet in a bucket. In each, the text that meets most others in all its
     buckets leads (a group's original meets more than its copies do) and is aligned with every other one. What is
     linked gets one label. In the next round the text that meets most after it leads in each bucket of several labels
-    and is aligned with those of other labels: a group of copies costs a few alignments a member. At last all
-    texts of buckets with several labels, linked or not, are aligned with those of other labels, but for pairs that
-    cannot be similar enough.
+    and is aligned with those of other labels: a group of copies costs a few alignments a member. Then
+    neighbours in the order of their rarest runs are aligned, and at last all texts of buckets with several labels, linked or not, with
+    those of other labels, but for pairs that cannot be similar enough.
     """
     reps = cut_compact(sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     members = reps.select("key", "n", F.posexplode("sketch").alias("nth", "value")).select("key", "n", F.xxhash64("nth", "value").alias("bucket"))
@@ -248,16 +284,19 @@ def near_links(keyed: DataFrame, sketched: DataFrame, least: float = SIMILARITY,
         rows = rows.select("bucket", "key", "n", "meets", (F.col("led") | (F.col("key") == F.col("leader.key"))).alias("led"))
         if rows.isEmpty():
             break
-    apart = _of_mixed(rows, labels).select("key", "label").distinct()
-    pairs = cut_compact(_untried(_close_pairs(texts.join(apart, "key"), least), tried))
-    if not pairs.isEmpty():
-        tried = tried.unionByName(_verified(pairs, texts, least))
+    prefixes = _prefixes(texts.join(_of_mixed(rows, labels).select("key").distinct(), "key"), least)
+    for meet in (_neighbours, _close_pairs):
+        pairs = cut_compact(_untried(meet(prefixes, labels), tried))
+        if not pairs.isEmpty():
+            tried = tried.unionByName(_verified(pairs, texts, least))
+            if meet is _neighbours:
+                labels = components(tried.where("similarity > 0"))
     return tried.where("similarity > 0")
 
 
 def _of_mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of buckets that hold several labels, with each text's label (its own key where it has none)."""
-    rows = rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    rows = _labelled(rows, labels)
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     return rows.join(mixed.select("bucket"), "bucket")
 
