@@ -22,27 +22,31 @@ def extract_claims(docs: DataFrame, markers=T.CLAIM_MARKERS) -> DataFrame:
     return rows.select("paper_id", "claim_index", "claim", F.col("claim").alias("evidence"), F.lit("low").alias("confidence"))
 
 
-def extract_citations(docs: DataFrame) -> DataFrame:
-    """(paper_id, kind, nth, raw, authors, year, doi, context): Author (Year), then [n], then bare DOIs."""
-    kinds = (("author_year", AUTHOR_YEAR), ("numbered", NUMBERED), ("doi", DOI))
+def citations_in(text: Column) -> Column:
+    """array<struct(kind, nth, raw, authors, year, doi, context)>: Author (Year), then [n], then bare DOIs."""
 
     def of(kind: str, pattern: str) -> Column:
-        return F.transform(T.match_offsets(F.col("text"), pattern), lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), m.alias("m")))
-
-    found = [of(*k) for k in kinds]
-    rows = docs.select("paper_id", "text", F.explode(F.concat(*found)).alias("c"))
-    raw, kind = F.col("c.m.raw"), F.col("c.kind")
-    names = F.filter(F.transform(F.split(F.substring_index(raw, "(", 1), r"\s+(?:and|et\s+al\.)\s*"), T.strip), lambda a: a != "")
-    return rows.select(
-        "paper_id",
-        kind.alias("kind"),
-        F.col("c.nth").alias("nth"),
-        raw.alias("raw"),
-        F.when(kind == "author_year", names).alias("authors"),
-        F.when(kind == "author_year", F.regexp_extract(raw, r"\((\d{4})\)", 1).cast("int")).alias("year"),
-        F.when(kind == "doi", raw).alias("doi"),
-        T.context(F.col("text"), F.col("c.m")).alias("context"),
-    )
+        return F.transform(T.match_offsets(text, pattern), lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), m.alias("m")))
+
+    def told(c: Column) -> Column:
+        raw, kind = c["m"]["raw"], c["kind"]
+        names = F.filter(F.transform(F.split(F.substring_index(raw, "(", 1), r"\s+(?:and|et\s+al\.)\s*"), T.strip), lambda a: a != "")
+        return F.struct(
+            kind.alias("kind"),
+            c["nth"].alias("nth"),
+            raw.alias("raw"),
+            F.when(kind == "author_year", names).alias("authors"),
+            F.when(kind == "author_year", F.regexp_extract(raw, r"\((\d{4})\)", 1).cast("int")).alias("year"),
+            F.when(kind == "doi", raw).alias("doi"),
+            T.context(text, c["m"]).alias("context"),
+        )
+
+    return F.transform(F.concat(of("author_year", AUTHOR_YEAR), of("numbered", NUMBERED), of("doi", DOI)), told)
+
+
+def extract_citations(docs: DataFrame) -> DataFrame:
+    """(paper_id, kind, nth, raw, authors, year, doi, context) of each document's ``citations_in``."""
+    return docs.select("paper_id", F.inline(citations_in(F.col("text"))))
 
 
 def conflicts(claims: DataFrame, facts: DataFrame) -> DataFrame:

@@ -146,7 +146,70 @@ def _(spark, d):
     return extract_sources(view(spark, d, "v_texts").withColumn("abstract", F.lit(None).cast("string"))).select("paper_id", "summary", "data_summary", F.col("char_count").cast("long").alias("char_count"))
 
 
-@query("rul_12_run_campaigns")
-def _(spark, d):
-    labels = table(spark, d, "labels").select(F.col("doc_id").alias("paper_id"), (F.col("quality") * 3 + 2).alias("relevance"))
-    return run_campaigns(view(spark, d, "v_papers").join(labels, "paper_id", "left"), view(spark, d, "v_texts").drop("campaign_id"))
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _section(words):
+    wanted = " OR ".join(f"contains(lower(s), '{w}')" for w in words)
+    marks = f"list_transform(lines, lambda s: starts_with(trim(s, {_BLANK}), '#') AND ({wanted}))"
+    after = f"lines[list_position({marks}, true) + 1:]"
+    stop = f"list_position(list_transform({after}, lambda s: starts_with(trim(s, {_BLANK}), '#')), true)"
+    return f"CASE WHEN list_contains({marks}, true) THEN trim(array_to_string(CASE WHEN {stop} > 0 THEN {after}[:{stop} - 1] ELSE {after} END, chr(10)), {_BLANK}) ELSE '' END"
+
+
+_SPACED = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'), " + _BLANK + ")"
+_READ = rf"""lined AS (SELECT *, string_split(text, chr(10)) AS lines, coalesce(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda b: trim(b, {_BLANK})), lambda b: b <> '')[1], coalesce(abstract, '')) AS summary FROM src),
+  sections AS (SELECT *, {_section(("method", "methodology", "approach"))} AS methodology, {_section(("data", "dataset", "materials", "corpus"))} AS data_summary, {_section(("results", "findings", "evaluation"))} AS results_summary,
+    list_transform(list_filter({_SENT}, lambda s: {_MARKED})[1:10], lambda s: trim(s, {_BLANK})) AS claims,
+    len(regexp_extract_all(text, '[A-Z][a-zA-Z\-]+(?:\s+(?:and|et\s+al\.)?\s*[A-Z][a-zA-Z\-]+)*\s*\(\d{{4}}\)')) + len(regexp_extract_all(text, '\[\d{{1,3}}\]')) + len(regexp_extract_all(text, '10\.\d{{4,9}}/[-._;()/:\p{{L}}\p{{N}}_]+')) AS n_citations FROM lined)"""
+_URL = r"regexp_replace(regexp_replace(regexp_replace(lower(coalesce(url, '')), '^https?://', ''), 'www\.', '', 'g'), '/+$', '')"
+_CAMPAIGNS = rf"""WITH RECURSIVE plan AS (SELECT campaign_id, max_sources, s.source, 2 * s.nth + k AS plan_pos, CASE k WHEN 0 THEN query ELSE 'evidence topic' END AS query FROM v_requests, (VALUES (0, 'arxiv'), (1, 'crossref'), (2, 'openalex'), (3, 'semantic_scholar')) s(nth, source), range(2) r(k)),
+  answered AS (SELECT campaign_id, max_sources, plan_pos::BIGINT * 4294967296 + row_pos AS pos, v.* FROM plan JOIN v_results v USING (source, query)),
+  p AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY pos) AS n, lower(trim(doi)) AS d, nullif({_URL}, '') AS u, coalesce(lower(doi), lower(url), lower(trim(title)) || '::' || coalesce(year::VARCHAR, 'None')) AS paper_key FROM answered WHERE error IS NULL),
+  walk(campaign_id, n, canon) AS (SELECT DISTINCT campaign_id, 0::BIGINT, CAST([] AS STRUCT(pos BIGINT, d VARCHAR, u VARCHAR)[]) FROM p
+    UNION ALL SELECT p.campaign_id, p.n, CASE WHEN len(list_filter(canon, lambda c: CASE WHEN c.d IS NOT NULL AND p.d IS NOT NULL THEN c.d = p.d ELSE coalesce(c.u = p.u, false) END)) > 0 THEN canon ELSE list_append(canon, {{'pos': p.pos, 'd': p.d, 'u': p.u}}) END
+    FROM walk w JOIN p ON p.campaign_id = w.campaign_id AND p.n = w.n + 1),
+  canon AS (SELECT campaign_id, unnest(canon).pos AS pos FROM (SELECT * FROM walk QUALIFY n = max(n) OVER (PARTITION BY campaign_id))),
+  k AS (SELECT p.*, row_number() OVER (PARTITION BY campaign_id ORDER BY pos) AS nth FROM p JOIN canon USING (campaign_id, pos)),
+  ways AS (SELECT src, dst FROM v_citations UNION SELECT dst, src FROM v_citations),
+  snow AS (SELECT k.campaign_id, k.max_sources, k.pos AS seed_pos, v.* FROM k JOIN ways w ON w.src = k.paper_id JOIN v_papers v ON v.paper_id = w.dst WHERE nth <= max_sources AND w.dst <> w.src),
+  both_ AS (SELECT campaign_id, max_sources, 0 AS late, pos AS seed_pos, NULL::BIGINT AS node, doi, url, title, year, pdf_url, source, source_id FROM k
+    UNION ALL SELECT campaign_id, max_sources, 1, seed_pos, paper_id, doi, url, title, year, pdf_url, source, source_id FROM snow),
+  budget AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY late, seed_pos, node) AS rank FROM both_ QUALIFY rank <= max_sources),
+  places AS (SELECT campaign_id, coalesce(lower(doi), lower(url), lower(trim(title)) || '::' || coalesce(year::VARCHAR, 'None')) AS paper_key,
+    max({{'rank': rank, 'url': CASE WHEN pdf_url IS NOT NULL THEN pdf_url WHEN source = 'arxiv' THEN 'https://arxiv.org/pdf/' || source_id || '.pdf' WHEN doi IS NOT NULL THEN 'https://doi.org/' || doi END, 'is_oa': pdf_url IS NOT NULL OR source = 'arxiv'}}) AS place FROM budget GROUP BY 1, 2),
+  cards AS (SELECT *, {{score}} AS total_score FROM k),
+  included AS (SELECT * FROM cards WHERE pdf_url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY total_score DESC, pos) <= max_sources),
+  content AS (SELECT 'https://pdf.example.org/' || paper_id || '.pdf' AS place_url, text AS content FROM v_texts UNION ALL SELECT 'https://arxiv.org/pdf/' || paper_id || '.pdf', text FROM v_texts),
+  src AS (SELECT i.*, CASE WHEN place.is_oa AND content IS NOT NULL THEN content ELSE coalesce(abstract, '') END AS text FROM included i LEFT JOIN places USING (campaign_id, paper_key) LEFT JOIN content ON place_url = place.url),
+  {_READ},
+  claim AS (SELECT campaign_id, pos, doi, c AS claim, contains({_SPACED.format("concat_ws(' ', summary, methodology, data_summary, results_summary)")}, {_SPACED.format("c")}) AS held FROM (SELECT *, unnest(claims) AS c FROM sections)),
+  counted AS (SELECT campaign_id, count(*) AS total_sources, sum(len(claims))::BIGINT AS total_claims, sum(n_citations)::BIGINT AS citation_count FROM sections GROUP BY 1),
+  judged AS (SELECT campaign_id, count(*) + count(*) FILTER (length(trim(claim, {_BLANK})) < 20) + count(*) FILTER (len(list_filter(string_split_regex(claim, '\s+'), lambda w: w <> '')) < 6) AS challenged_count,
+    count(*) FILTER (length(trim(claim, {_BLANK})) < 20) AS high_severity_count, count(*) FILTER (held) AS verified_count, count(*) FILTER (NOT held) AS failed_verification_count FROM claim GROUP BY 1),
+  n AS (SELECT v.campaign_id, v.query, (SELECT count(*) FROM p WHERE p.campaign_id = v.campaign_id) AS raw, (SELECT count(*) FROM k WHERE k.campaign_id = v.campaign_id) AS canonical, (SELECT count(*) FROM snow WHERE snow.campaign_id = v.campaign_id) AS snowball,
+    (SELECT count(*) FROM budget b WHERE b.campaign_id = v.campaign_id) AS resolved, (SELECT coalesce(string_agg(DISTINCT source, ',' ORDER BY source), '') FROM answered a WHERE a.campaign_id = v.campaign_id AND error IS NOT NULL) AS errors,
+    coalesce(total_sources, 0) AS total_sources, coalesce(total_claims, 0) AS total_claims, coalesce(citation_count, 0) AS citation_count, coalesce(challenged_count, 0) AS challenged_count, coalesce(high_severity_count, 0) AS high_severity_count,
+    coalesce(verified_count, 0) AS verified_count, coalesce(failed_verification_count, 0) AS failed_verification_count FROM v_requests v LEFT JOIN counted USING (campaign_id) LEFT JOIN judged USING (campaign_id))
+  SELECT *, CASE WHEN total_sources = 0 THEN 0.0 ELSE 0.5 + 0.25 * (total_claims > 0)::INT + 0.25 * (citation_count > 0)::INT END AS coverage_score,
+    CASE WHEN total_claims = 0 THEN 0.0 ELSE round(greatest(0.0, 1 - 0.2 * least(challenged_count / total_claims, 1.0) - 0.4 * least(high_severity_count / total_claims, 1.0) - 0.4 * least(failed_verification_count / total_claims, 1.0)), 4) END AS quality_score FROM n"""
+_SCORE = "round((CASE WHEN pdf_url IS NOT NULL THEN 1.0 ELSE 0.0 END) + 0.5 * (CASE WHEN year >= 2000 THEN 1.0 ELSE 0.0 END) + CASE WHEN relevance IS NULL THEN 0.0 ELSE (greatest(3, least(5, relevance)) - 3) / 2.0 END, 4)"
+
+
+def _campaigns(spark, d):
+    """Two sources are answered by the cache, which ``found`` answers too, so that only one of both may count."""
+    results = view(spark, d, "v_results")
+    fields = [c for c in results.columns if c not in ("query", "row_pos", "error")]
+    found = results.select("source", "query", "row_pos", "error", F.struct(*fields).alias("paper"))
+    papers = view(spark, d, "v_papers").withColumn("relevance", F.lit(None).cast("int"))
+    texts = view(spark, d, "v_texts")
+    place = lambda host: F.concat(F.lit(host), F.col("paper_id").cast("string"), F.lit(".pdf")).alias("url")
+    content = texts.select(place("https://pdf.example.org/"), F.col("text").alias("content")).unionByName(texts.select(place("https://arxiv.org/pdf/"), F.col("text").alias("content")))
+    known = papers.select(F.struct(*fields).alias("paper"))
+    cache = found.where("source in ('arxiv', 'openalex')")
+    return run_campaigns(view(spark, d, "v_requests"), cache, found, known, content, edges=view(spark, d, "v_citations"))
+
+
+@query("rul_12_run_campaigns", _CAMPAIGNS.replace("{score}", _SCORE))
+def _(spark, d):
+    return _campaigns(spark, d).report.withColumn("errors", F.array_join("errors", ","))

@@ -10,6 +10,12 @@ from ..testviews import table, view
 _KEYS = "WITH p AS (SELECT paper_id, pos, campaign_id, lower(doi) AS d, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(url, '')), '^https?://', ''), 'www\\.', '', 'g'), '/+$', '') AS u FROM v_papers)"
 _PAIRS = """, pairs AS (SELECT a.paper_id AS later, b.paper_id AS earlier, a.pos AS pa, b.pos AS pb, CASE WHEN a.d = b.d THEN 'doi_exact' ELSE 'url_exact' END AS reason
   FROM p a JOIN p b ON a.pos > b.pos AND ((a.d = b.d) OR ((a.d IS NULL OR b.d IS NULL) AND a.u <> '' AND a.u = b.u)))"""
+_MATCH = "CASE WHEN c.d IS NOT NULL AND p.d IS NOT NULL THEN c.d = p.d ELSE coalesce(c.u = p.u, false) END"
+_GROUPS = f"""WITH RECURSIVE p AS (SELECT paper_id, pos, row_number() OVER (ORDER BY pos) AS n, lower(trim(doi)) AS d, nullif(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(url, '')), '^https?://', ''), 'www\\.', '', 'g'), '/+$', ''), '') AS u FROM v_papers),
+  walk(n, canon) AS (SELECT 0::BIGINT, CAST([] AS STRUCT(id BIGINT, pos BIGINT, d VARCHAR, u VARCHAR)[])
+    UNION ALL SELECT p.n, CASE WHEN len(list_filter(canon, lambda c: {_MATCH})) > 0 THEN canon ELSE list_append(canon, {{'id': p.paper_id, 'pos': p.pos, 'd': p.d, 'u': p.u}}) END FROM walk w JOIN p ON p.n = w.n + 1),
+  m AS (SELECT paper_id, pos, p.d, list_filter(canon, lambda c: c.pos <= p.pos AND {_MATCH})[1] AS c FROM p, (SELECT canon FROM walk ORDER BY n DESC LIMIT 1)),
+  g AS (SELECT paper_id, coalesce(c.id, paper_id) AS canonical_id, CASE WHEN coalesce(c.pos, pos) = pos THEN 'canonical' WHEN d IS NOT NULL AND c.d IS NOT NULL THEN 'doi_exact' ELSE 'url_exact' END AS reason FROM m)"""
 _OA = "select distinct doi, concat('https://oa.example.org/', substr(doi, 9)) as url_for_pdf, true as is_oa from v_papers where doi is not null and paper_id % 2 = 1"
 _RESOLVED = f"""r AS (SELECT p.*, coalesce(lower(doi), lower(url), lower(trim(title)) || '::' || coalesce(year::VARCHAR, 'None')) AS paper_key,
   CASE WHEN pdf_url IS NOT NULL THEN pdf_url WHEN source = 'arxiv' THEN 'https://arxiv.org/pdf/' || source_id || '.pdf' WHEN o.u IS NOT NULL THEN o.u WHEN doi IS NOT NULL THEN 'https://doi.org/' || doi END AS full_text_url,
@@ -42,7 +48,7 @@ def _(spark, d):
     return dedup.dedup_pairs(view(spark, d, "v_papers"))
 
 
-@query("joi_02_dedup_groups")
+@query("joi_02_dedup_groups", f"{_GROUPS} SELECT * FROM g")
 def _(spark, d):
     return dedup.dedup_groups(view(spark, d, "v_papers"), threshold=None)
 
@@ -52,12 +58,14 @@ def _(spark, d):
     return dedup.dedup_groups(view(spark, d, "v_papers"))
 
 
-@query("agg_01_dedup_stats", "WITH g AS (SELECT part_key, min(p_partkey) AS c, count(*) AS n FROM (SELECT p_partkey, p_partkey % 37 AS part_key FROM part) GROUP BY 1) SELECT c AS canonical_id, n - 1 AS n_duplicates, (SELECT sum(n) FROM g)::BIGINT AS input_count, (SELECT count(*) FROM g) AS canonical_count, ((SELECT sum(n) FROM g) - (SELECT count(*) FROM g))::BIGINT AS duplicate_count FROM g")
+@query(
+    "agg_01_dedup_stats",
+    f"""{_GROUPS} SELECT canonical_id, array_to_string(coalesce(list(paper_id ORDER BY paper_id) FILTER (paper_id <> canonical_id), []), ',') AS duplicates, (SELECT count(*) FROM g) AS input_count,
+      (SELECT count(*) FROM g WHERE reason = 'canonical') AS canonical_count, (SELECT count(*) FROM g WHERE reason <> 'canonical') AS duplicate_count FROM g GROUP BY canonical_id""",
+)
 def _(spark, d):
-    part = table(spark, d, "part")
-    first = part.groupBy((F.col("p_partkey") % 37).alias("k")).agg(F.min("p_partkey").alias("canonical_id"))
-    groups = part.select(F.col("p_partkey").alias("paper_id"), (F.col("p_partkey") % 37).alias("k")).join(first, "k")
-    return dedup.dedup_stats(groups).select("canonical_id", F.size("duplicates").cast("long").alias("n_duplicates"), "input_count", "canonical_count", "duplicate_count")
+    stats = dedup.dedup_stats(dedup.dedup_groups(view(spark, d, "v_papers"), threshold=None))
+    return stats.withColumn("duplicates", F.array_join("duplicates", ","))
 
 
 @query(
@@ -183,14 +191,7 @@ def _(spark, d):
     return plan.plan_queries(c, ["web_crawl", "custom", "arxiv"])
 
 
-@query("srt_07_resolve_budget", "SELECT paper_id FROM (SELECT paper_id, CASE WHEN paper_id % 3 = 0 THEN 0 ELSE 1 END AS late, pos FROM v_papers) ORDER BY late, pos LIMIT 50")
-def _(spark, d):
-    p = view(spark, d, "v_papers")
-    canonical, more = p.where("paper_id % 3 = 0").withColumn("late", F.lit(0)), p.where("paper_id % 3 <> 0").withColumn("late", F.lit(1))
-    return canonical.unionByName(more).orderBy("late", "pos").limit(50).select("paper_id")
-
-
-@query("srt_07b_resolve_budget", "SELECT campaign_id, paper_id, row_number() OVER (PARTITION BY campaign_id ORDER BY CASE WHEN paper_id % 3 = 0 THEN 0 ELSE 1 END, pos) AS rank FROM v_papers QUALIFY rank <= 50")
+@query("srt_07_resolve_budget", "SELECT campaign_id, paper_id, row_number() OVER (PARTITION BY campaign_id ORDER BY CASE WHEN paper_id % 3 = 0 THEN 0 ELSE 1 END, pos) AS rank FROM v_papers QUALIFY rank <= 50")
 def _(spark, d):
     p = view(spark, d, "v_papers")
     return resolve.resolve_budget(p.where("paper_id % 3 = 0"), p.where("paper_id % 3 <> 0"), 50).select("campaign_id", "paper_id", "rank")

@@ -31,6 +31,22 @@ VIEWS = {
             '## Method', chr(10), substr(d.text, 201), chr(10), '## Data', chr(10), 'See [', cast(d.doc_id % 50 as string), '] and 10.5555/x', cast(d.doc_id % 97 as string), chr(10),
             '## Results', chr(10), 'Doe (', cast(1990 + d.doc_id % 30 as string), ') suggests that the of and in it.', chr(10)) as text
         from {documents} d""",
+    "v_requests": """
+        select doc_id % 10 as campaign_id, concat('evidence about topic ', cast(doc_id % 10 as string)) as query, '' as context, 60 as max_sources
+        from {documents} group by doc_id % 10""",
+    "v_results": """
+        select source, query, pos as row_pos, case when source = 'crossref' and campaign_id = 3 then 'no answer' end as error, paper_id, title, year, doi, url, pdf_url, abstract, source_id, citation_count, relevance
+        from (select concat('evidence about topic ', cast(d.doc_id % 10 as string)) as query, d.doc_id as pos, d.doc_id % 10 as campaign_id from {documents} d
+          union all select 'evidence topic', d.doc_id, -1 from {documents} d where d.doc_id % 7 = 0) q
+        join (select d.doc_id as paper_id, split_part(d.text, chr(10), 1) as title, cast(1995 + d.doc_id % 30 as int) as year,
+            case when d.doc_id % 3 = 0 then concat('10.5555/X', cast(d.doc_id % 97 as string)) end as doi,
+            case when d.doc_id % 5 <> 0 then concat('https://www.', d.source, '.example.org/', cast(d.doc_id % 211 as string), '/') end as url,
+            case when d.doc_id % 2 = 0 then concat('https://pdf.example.org/', cast(d.doc_id as string), '.pdf') end as pdf_url, d.text as abstract,
+            case d.doc_id % 4 when 0 then 'semantic_scholar' when 1 then 'crossref' when 2 then 'arxiv' else 'openalex' end as source,
+            cast(d.doc_id as string) as source_id, cast(d.n_chars % 100 as int) as citation_count, l.quality * 3 + 2 as relevance
+          from {documents} d left join {labels} l on l.doc_id = d.doc_id) p on p.paper_id = q.pos""",
+    "v_citations": """
+        select d.doc_id as src, (d.doc_id * 7 + 3) % (select count(*) from {documents}) as dst from {documents} d""",
     "v_campaigns": """
         select o_orderkey as campaign_id, concat('query ', cast(o_custkey as string)) as query, '' as context,
           cast(o_orderkey % 60 as int) as max_sources,

@@ -320,20 +320,70 @@ def test_empty_metrics(spark):
     assert row.total == 0 and row.average_seconds is None and row.median_seconds is None
 
 
+RESULT = "source string, query string, row_pos long, error string, paper struct<paper_id:long,title:string,year:int,doi:string,url:string,pdf_url:string,abstract:string,source:string,source_id:string,relevance:int>"
+
+
+def campaign_inputs(spark, asked, results, content=(), edges=()):
+    """Requests (campaign, query), results (query, row_pos, error, paper) of arxiv, texts by URL and citations."""
+    requests = spark.createDataFrame([(c, q, "", 3) for c, q in asked], "campaign_id long, query string, context string, max_sources int")
+    found = spark.createDataFrame([("arxiv", *r) for r in results], RESULT)
+    known = found.where("paper is not null").select("paper").distinct()
+    return requests, found.limit(0), found, known, spark.createDataFrame(list(content), "url string, content string"), spark.createDataFrame(list(edges), "src long, dst long")
+
+
+def paper(i, doi=None, pdf=True, url=None, relevance=5):
+    return (i, f"Title {i}", 2020, doi, url, f"https://x.org/{i}.pdf" if pdf else None, "We find that it is so here.", "crossref", str(i), relevance)
+
+
 def test_campaigns_keep_papers_of_other_campaigns(spark):
-    """The same paper in two campaigns stays in both, and one repeated inside a campaign goes."""
+    """One paper in two campaigns is one source in each; repeated inside a campaign it is one, too."""
     from litspark.operators.dedup import dedup_groups
     from litspark.plans.campaign import run_campaigns
-    from litspark.testviews import view
 
-    paper = view(spark, "/root/testdata/sf0.001", "v_papers").orderBy("paper_id").limit(1).drop("paper_id", "pos", "campaign_id", "doi")
-    ids = spark.createDataFrame([(1, 1, 1, "10.1/X"), (2, 2, 1, "10.1/x"), (3, 3, 2, "10.1/x"), (4, 4, None, "10.1/x"), (5, 5, None, "10.1/x")], "paper_id long, pos long, campaign_id long, doi string")
-    papers = ids.crossJoin(paper).withColumn("relevance", F.lit(5))
-    got = {r.paper_id: r.canonical_id for r in dedup_groups(papers, within="campaign_id").collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
-    texts = ids.select("paper_id", F.lit("# Results\n\nWe found that it is so.").alias("text"))
-    reports = run_campaigns(papers.where("campaign_id is not null"), texts).collect()
-    assert sorted(r.campaign_id for r in reports) == [1, 2]
+    ids = spark.createDataFrame([(1, 1, 1, "10.1/X"), (2, 2, 1, "10.1/x"), (1, 1, 2, "10.1/x"), (4, 4, None, "10.1/x"), (5, 5, None, "10.1/x")], "paper_id long, pos long, campaign_id long, doi string")
+    papers = ids.withColumns({"year": F.lit(2020), "title": F.lit("t"), "url": F.lit(None).cast("string")})
+    for threshold in (None, 0.85):
+        got = {(r.campaign_id, r.paper_id): r.canonical_id for r in dedup_groups(papers, threshold, within="campaign_id").collect()}
+        assert got == {(1, 1): 1, (1, 2): 1, (2, 1): 1, (None, 4): 4, (None, 5): 4}
+    shared = paper(7, "10.1/x")
+    results = [("alpha beta", 0, None, shared), ("gamma beta", 0, None, shared), ("gamma beta", 1, None, paper(8, "10.1/X"))]
+    run = run_campaigns(*campaign_inputs(spark, [(1, "alpha beta"), (2, "gamma beta")], results, [("https://x.org/7.pdf", "# Results\n\nWe found that it is so.")]))
+    got = {r.campaign_id: (r.raw, r.canonical, r.total_sources, r.total_claims, r.verified_count) for r in run.report.collect()}
+    assert got == {1: (2, 1, 1, 1, 1), 2: (4, 1, 1, 1, 1)}  # each planned query twice: as asked, and by its keywords
+    briefs = {r.campaign_id: r.brief for r in run.briefs.collect()}
+    assert briefs[2].startswith("# Research Brief: gamma beta") and briefs[2].count("https://x.org/7.pdf") == 1
+
+
+def test_campaign_stages(spark):
+    """Cache before search, failed queries, citations, the budget, closed places and a campaign without papers."""
+    from litspark.plans.campaign import run_campaigns
+
+    results = [("alpha", k, None, paper(k, pdf=k != 3, relevance=k)) for k in range(5)] + [("omega", 0, "no answer", None), ("beta", 0, None, paper(20, pdf=False, url="http://10.0.0.1/x"))]
+    requests, _, found, known, content, edges = campaign_inputs(spark, [(1, "alpha"), (2, "omega"), (3, "beta"), (4, " ")], results, [("https://x.org/4.pdf", "# A\n\n## Materials\nm\n## Evaluation\nWe found that all of it holds.")], [(0, 20), (1, 0)])
+    cache = spark.createDataFrame([("arxiv", "alpha", 9, None, paper(9)), ("arxiv", "alpha", 10, None, paper(4, relevance=4))], RESULT)
+    run = run_campaigns(requests, cache, found, known, content, edges, facts=spark.createDataFrame([(1, "all of it"), (2, "none")], "fact_id long, text string"))
+    got = {r.campaign_id: r for r in run.report.collect()}
+    assert sorted(got) == [1, 2, 3]  # a blank request is left out
+    assert (got[1].raw, got[1].canonical, got[1].snowball, got[1].resolved) == (4, 4, 0, 3)  # the cached two, once for each of two plans
+    assert got[2].errors == ["arxiv"] and (got[2].raw, got[2].total_sources, got[2].coverage_score) == (0, 0, 0.0)
+    assert (got[3].raw, got[3].total_sources, got[3].snowball) == (2, 0, 1)
+    read = {r.paper_id: r for r in run.sources.where("campaign_id = 1").collect()}
+    assert read[4].tool == "markdownify" and read[4].data_summary == "m" and read[4].results_summary == "We found that all of it holds." and read[4].conflict_count == 1
+    assert read[9].tool == "abstract" and read[9].summary == "We find that it is so here."
+
+
+def test_groups_of_one_large_key(spark):
+    """Papers of one DOI are judged by their distinct keys, not in pairs."""
+    many = spark.range(20_000).selectExpr("id as paper_id", "id as pos", "2020 as year", "'10.1/x' as doi", "concat('http://x.org/', id % 50) as url", "'t' as title")
+    assert [tuple(r) for r in dedup.dedup_groups(many, None).groupBy("canonical_id").count().collect()] == [(0, 20_000)]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_exact_groups_equal_the_sequential_rule(spark, seed):
+    rng = random.Random(seed)
+    rows = [("", None, rng.choice([None, None, *(f"10.1/{k}" for k in range(9))]), rng.choice([None, *(f"http://x.org/{k}" for k in range(12))])) for _ in range(200)]
+    got = {r.paper_id: (r.canonical_id, r.reason) for r in dedup.dedup_groups(papers(spark, rows), None).collect()}
+    assert got == sequential(rows)
 
 
 def test_conflicts_equal_brute_force(spark):
@@ -365,20 +415,6 @@ def test_rubric_rows_of_equal_bounds(spark):
     assert {r.paper_id: r.total_score for r in screen_by_rows(papers, criteria).collect()} == {1: 1.0, 2: 1.0, 3: 0.0}
 
 
-def test_every_campaign_is_reported(spark):
-    """A campaign whose papers all fail the screen, or have no text, has a report of zeros."""
-    from litspark.plans.campaign import run_campaigns
-
-    schema = "paper_id long, pos long, campaign_id long, title string, year int, doi string, url string, pdf_url string, abstract string, source string, source_id string, relevance int"
-    papers = spark.createDataFrame([(1, 1, 1, "One", 2020, "10.1/x", None, "https://x.org/1.pdf", "", "arxiv", "1", 5), (2, 2, 2, "Two", 1990, None, None, None, "", "arxiv", "2", None)], schema)
-    papers = papers.withColumn("has_full_text", papers.pdf_url.isNotNull())
-    texts = spark.createDataFrame([(1, "# Results\n\nWe found that it is so and so."), (2, "none")], "paper_id long, text string")
-    facts = spark.createDataFrame([(1, "it is so")], "fact_id long, text string")
-    got = {r.campaign_id: r for r in run_campaigns(papers, texts, facts=facts).collect()}
-    assert (got[1].total_sources, got[1].total_claims, got[1].conflict_count) == (1, 1, 1)
-    assert (got[2].total_sources, got[2].coverage_score, got[2].quality_score) == (0, 0.0, 0.0)
-
-
 def test_dashboard_breakdowns(spark):
     rows = [(i, f"q{i}", "running" if i else "completed", i % 2, f"2024-01-0{i + 1}", f"2024-01-0{i + 1}") for i in range(3)]
     c = spark.createDataFrame(rows, "campaign_id long, query string, status string, stage_pos int, a string, b string")
