@@ -40,8 +40,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_compact(df: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
-    """As ``cut``, in files of about ``rows_per_file`` rows, but two a core at least: for narrow rows after a shuffle.
+def cut_compact(df: DataFrame, rows_per_file: int = 100_000, least_rows: int = 5_000) -> DataFrame:
+    """As ``cut``, in files of ``rows_per_file`` rows at most; two a core, if they then hold ``least_rows`` or more.
 
     A shuffle of many partitions would else leave as many small files in the shared folder, and each file costs an
     executor two processes of its own where the folder is a local file system (Hadoop changes modes by ``chmod``). The
@@ -49,7 +49,8 @@ def cut_compact(df: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
     are worked out again.
     """
     held = df.persist(StorageLevel.DISK_ONLY)
-    files = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-held.count() // rows_per_file))
+    rows = held.count()
+    files = max(1, -(-rows // rows_per_file), min(2 * df.sparkSession.sparkContext.defaultParallelism, rows // min(least_rows, rows_per_file)))
     out = cut(held.coalesce(files))
     held.unpersist()
     return out

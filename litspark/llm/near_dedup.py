@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, cut_compact, text_or_empty
+from .common import ascii_lower, cut_compact, text_or_empty
 
 K = 5
 SIMILARITY = 0.8
@@ -23,6 +23,8 @@ BROADCAST_KEYS = 200_000
 MEMO_WORDS = 30_000
 #: Rows with all runs of a text (some 8 KB each) in a written file.
 ROWS_OF_RUNS = 2_000
+#: Rows with a whole text.
+ROWS_OF_TEXTS = 10_000
 _TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,7 +150,7 @@ def _texts_of(keyed: DataFrame, keys: DataFrame) -> DataFrame:
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     on = (F.col("key") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
-    return cut(keyed.join(keys, on).select("key", "text"))
+    return cut_compact(keyed.join(keys, on).select("key", "text"), ROWS_OF_TEXTS)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -334,7 +336,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     keyed = rows.withColumn("key", text_key(F.col("text")))
-    sketched = cut(_sketched(keyed))
+    sketched = cut_compact(_sketched(keyed))
     links = cut_compact(near_links(keyed, sketched, least).select("a", "b"))
     labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("found_links"))
