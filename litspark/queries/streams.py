@@ -1,12 +1,11 @@
 """Queries that run streams over the driver's tables to their end (STM-01..05)."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators.catalog import redact_catalog
 from ..registry import query
 from ..streaming import streams as S
+from ..streaming.buckets import BucketStore
 from ..testviews import view
 from .sources import _shared
 from .telemetry import _DUR
@@ -28,7 +27,11 @@ def _stream(spark, d, parts=2):
 
 
 def _run(spark, stream, mode):
-    return S.run_available(stream, f"q_{uuid.uuid4().hex}", mode, _shared(spark, "stream-state"))
+    return S.run_available(stream, _shared(spark, "stream-out"), mode, _shared(spark, "stream-state"))
+
+
+def _to_end(spark, writer):
+    writer.option("checkpointLocation", _shared(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
 
 
 @query("stm_01_stream_events", "SELECT event_id, type AS stage, 'token=[REDACTED]' AS model, 2 AS n_keys FROM v_events")
@@ -39,8 +42,9 @@ def _(spark, d):
 
 @query("stm_02_stream_stage_durations", f"WITH {_DUR} SELECT campaign_id, stage_pos, round(seconds, 3) AS seconds FROM dur")
 def _(spark, d):
-    done = _run(spark, S.stream_stage_durations(_stream(spark, d), "60 days"), "update")
-    return done.groupBy("campaign_id", "stage_pos").agg(F.round(F.max("seconds"), 3).alias("seconds"))
+    out = _shared(spark, "durations")
+    _to_end(spark, S.stream_stage_durations(_stream(spark, d), out))
+    return S.stage_totals(spark, out).withColumn("seconds", F.round("seconds", 3))
 
 
 @query("stm_03_stream_alerts", "SELECT campaign_id, stage_pos, 'thrashing' AS kind, 1::BIGINT AS n FROM v_events WHERE type = 'stage_enter' GROUP BY 1, 2 HAVING count(*) > 3 UNION ALL SELECT campaign_id, stage_pos, 'stage_failure', count(*) FROM v_events WHERE type = 'stage_exit' AND NOT ok GROUP BY 1, 2")
@@ -50,7 +54,11 @@ def _(spark, d):
     return thrash.unionByName(failed).groupBy("campaign_id", "stage_pos", "kind").agg(F.count("*").alias("n"))
 
 
-@query("stm_03b_stream_stuck")
+@query(
+    "stm_03b_stream_stuck",
+    """WITH e AS (SELECT * FROM v_events WHERE stage_pos IS NOT NULL), a AS (SELECT *, (SELECT min(b.event_id) FROM e b WHERE b.campaign_id = e.campaign_id AND b.event_id > e.event_id AND (b.type = 'stage_enter' OR b.stage_pos = e.stage_pos)) AS next_id FROM e WHERE type = 'stage_enter')
+       SELECT a.campaign_id, a.stage_pos, 'stuck' AS kind FROM a LEFT JOIN e n ON n.event_id = next_id WHERE coalesce(epoch_ms(n.ts), (SELECT max(epoch_ms(ts)) - 1000 FROM e)) - epoch_ms(a.ts) > 300000""",
+)
 def _(spark, d):
     return _run(spark, S.stream_stuck(_stream(spark, d, 4)), "append")
 
@@ -72,5 +80,5 @@ def _(spark, d):
     o = redact_catalog(view(spark, d, "v_sources").withColumns({"seen_at": F.timestamp_seconds(F.col("obs_id")), "topic_tags": F.array("topic_tag")}))
     path, out = _lay_down(o, _shared(spark, "stream-in"), "obs_id"), _shared(spark, "catalog")
     stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    S.upsert_catalog(stream, out).option("checkpointLocation", _shared(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/1").select("source_id", "source_type", F.unix_seconds("created_at").alias("first_obs"))
+    _to_end(spark, S.upsert_catalog(stream, out))
+    return BucketStore(spark, out).snapshot().select("source_id", "source_type", F.unix_seconds("created_at").alias("first_obs"))

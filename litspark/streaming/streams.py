@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.redact import redact_map
+from ..functions.text import elapsed_seconds
 from ..operators.catalog import remember_sources
 from ..operators.telemetry import ALLOWED_KEYS
+from .buckets import BucketStore
 
 EVENT = "event_id long, campaign_id long, type string, stage_pos int, ok boolean, error string, ts timestamp, meta map<string,string>"
 MAX_ENTERS = 3
@@ -26,24 +29,63 @@ def sanitized(events: DataFrame) -> DataFrame:
     return events.withColumn("meta", redact_map(F.map_filter("meta", lambda k, _: k.isin(*ALLOWED_KEYS))))
 
 
-def stream_stage_durations(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Running (campaign_id, stage_pos, seconds) after each batch: state holds a stage's last event and its sum.
-
-    Events of a key are taken in order of event_id inside a batch; those later than ``late`` are dropped.
+def fold_durations(old: DataFrame | None, events: DataFrame) -> DataFrame:
+    """(campaign_id, stage_pos, type, ts, seconds): each stage's last event and its sum of time after enters, with a batch's events."""
+    key = ["campaign_id", "stage_pos"]
+    by = Window.partitionBy(*key).orderBy("event_id")
+    gap = elapsed_seconds(F.lag("ts").over(by), F.col("ts"))
+    rows = events.withColumn("gap", F.when(F.lag("type").over(by) == "stage_enter", gap))
+    at = lambda f, c: f(c, "event_id").alias(f"{'first' if f is F.min_by else 'last'}_{c}")
+    new = rows.groupBy(*key).agg(at(F.min_by, "ts"), at(F.max_by, "ts"), at(F.max_by, "type"), F.coalesce(F.sum("gap"), F.lit(0.0)).alias("more"))
+    if old is None:
+        return new.select(*key, F.col("last_type").alias("type"), F.col("last_ts").alias("ts"), F.col("more").alias("seconds"))
+    between = F.when(F.col("type") == "stage_enter", elapsed_seconds(F.col("ts"), F.col("first_ts"))).otherwise(0.0)
+    seconds = F.coalesce("seconds", F.lit(0.0)) + F.coalesce(F.when(F.col("first_ts").isNotNull(), between), F.lit(0.0)) + F.coalesce("more", F.lit(0.0))
+    both = old.join(new, key, "full_outer")
+    return both.select(*key, F.coalesce("last_type", "type").alias("type"), F.coalesce("last_ts", "ts").alias("ts"), seconds.alias("seconds"))
+
+
+def stream_stage_durations(events: DataFrame, path: str, keep: str | None = None, buckets: int = 64):
+    """A writer that keeps the running (campaign_id, stage_pos, seconds) of all stages in a ``BucketStore`` at ``path``.
+
+    Events of a key are taken in order of event_id inside a batch, and batches in their order. What lies between batches
+    is a stage's last event and its sum; a batch rewrites the buckets of its campaigns. With ``keep`` (an interval), stages
+    without an event for so long, seen from a batch's last event, leave the buckets that the batch touches, for good, to ``path``/ended:
+    what comes later is a new row, and ``stage_totals`` adds up both.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kind, at, total = state.get if state.exists else (None, None, 0.0)
-        for event in pd.concat(list(frames)).sort_values("event_id").itertuples():
-            now = event.ts.timestamp()
-            if kind == "stage_enter":
-                total += max(0.0, now - at)
-            kind, at = event.type, now
-        state.update((kind, at, total))
-        yield pd.DataFrame({"campaign_id": [key[0]], "stage_pos": [key[1]], "seconds": [total]})
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        store = BucketStore(batch.sparkSession, path, buckets)
+        rows = batch.where("stage_pos is not null")
+        if keep is None:
+            store.merge(batch_id, rows, F.col("campaign_id"), fold_durations)
+            return
+        now = rows.agg(F.max("ts").alias("now")).first()["now"]
+        over = F.col("ts") < F.lit(now) - F.expr(f"interval {keep}")
+
+        def split(old: DataFrame | None, new: DataFrame) -> DataFrame:
+            if old is None:
+                return fold_durations(old, new)
+            ended = old.where(over).select("campaign_id", "stage_pos", "seconds")
+            ended.write.mode("overwrite").parquet(f"{path}/ended/batch={batch_id}")
+            return fold_durations(old.where(~over), new)
+
+        store.merge(batch_id, rows, F.col("campaign_id"), split)
 
-    keyed = events.where("stage_pos is not null").withWatermark("ts", late).groupBy("campaign_id", "stage_pos")
-    return keyed.applyInPandasWithState(step, "campaign_id long, stage_pos int, seconds double", "type string, at double, total double", "update", GroupStateTimeout.NoTimeout)
+    return events.writeStream.foreachBatch(fold)
+
+
+def stage_totals(spark: SparkSession, path: str, batch: int | None = None) -> DataFrame:
+    """(campaign_id, stage_pos, seconds) after ``batch`` (default: the last), with what ended."""
+    rows = BucketStore(spark, path).snapshot(batch).select("campaign_id", "stage_pos", "seconds")
+    try:
+        ended = spark.read.parquet(f"{path}/ended")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return rows
+    ended = ended if batch is None else ended.where(F.col("batch") <= batch)
+    return rows.unionByName(ended.drop("batch")).groupBy("campaign_id", "stage_pos").agg(F.sum("seconds").alias("seconds"))
 
 
 def stream_failures(events: DataFrame) -> DataFrame:
@@ -64,8 +106,12 @@ def stream_thrashing(events: DataFrame, most: int = MAX_ENTERS) -> DataFrame:
     return keyed.applyInPandasWithState(step, "campaign_id long, stage_pos int, kind string", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_stuck(events: DataFrame, seconds: int = 300, late: str = "0 seconds") -> DataFrame:
-    """One alert per entered stage that is neither left nor followed within ``seconds`` of event time."""
+def stream_stuck(events: DataFrame, seconds: int = 300, late: str = "1 second") -> DataFrame:
+    """One alert per entered stage that is neither left nor followed by another enter within ``seconds`` of event time.
+
+    A stage that is still open at the end of the input gets its alert if the last event, less ``late``, is more than ``seconds`` away.
+    Events later than ``late``, or just as late, are dropped. State holds a campaign's open stage, and goes with its exit or alert.
+    """
 
     def alert(campaign, stage) -> pd.DataFrame:
         return pd.DataFrame({"campaign_id": [campaign], "stage_pos": [stage], "kind": ["stuck"]})
@@ -101,20 +147,25 @@ def action_stats(log: DataFrame, window: str = "1 day", late: str = "1 hour") ->
     return counts.select(F.col("window.start").alias("start"), "outcome", "agent_name", "n")
 
 
-def upsert_catalog(observations: DataFrame, path: str):
-    """A writer that folds each micro-batch of observations into the catalogue at ``path``/<batch>; ``path``/<batch>
-    is written whole, so a batch that is tried again gives the same snapshot."""
+def upsert_catalog(observations: DataFrame, path: str, buckets: int = 64):
+    """A writer that folds each micro-batch of observations into the catalogue, a ``BucketStore`` at ``path`` by source_id.
+
+    A batch rewrites the buckets of the sources it names; tried again, it gives the same snapshot.
+    """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/{batch_id - 1}") if batch_id else None
-        remember_sources(before, batch).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+        BucketStore(batch.sparkSession, path, buckets).merge(batch_id, batch, F.col("source_id"), remember_sources)
 
     return observations.writeStream.foreachBatch(fold)
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is there now, run to its end into a table in memory: for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """All that is there now, run to its end into Parquet files at ``path``; in update mode with the batch of each row."""
+    if mode == "append":
+        writer = stream.writeStream.format("parquet").option("path", path).outputMode("append")
+    else:
+        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/{n}"))
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if mode == "append":
+        return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema.add("batch", "long")).option("recursiveFileLookup", "true").parquet(path)
