@@ -11,6 +11,17 @@ from .shared import cut
 # Shapes of citations.
 AUTHOR_YEAR = r"[A-Z][a-zA-Z\-]+(?:\s+(?:and|et\s+al\.)?\s*[A-Z][a-zA-Z\-]+)*\s*\(\d{4}\)"
 NUMBERED = r"\[\d{1,3}\]"
+# Severity, kind, reason and requested evidence of each challenge.
+CHALLENGES = (
+    ("high", "missing_evidence", "Claim lacks supporting evidence or evidence is too short.", "Provide the sentence or table from the source that supports this claim."),
+    ("medium", "low_confidence", "Extractor assigned low confidence to this claim.", "Re-run extraction with more context or flag for manual review."),
+    ("high", "missing_source", "No DOI, PDF URL, or landing page available for the source.", "Resolve a stable URL or DOI for the source."),
+    ("low", "coverage", "Claim is very short; may omit nuance or caveats.", "Restate the claim with full context and any stated limitations."),
+)
+# What a verification says.
+PASSED = "claim checks passed"
+NO_QUOTE, NOT_FOUND = "claim has no quoted evidence", "quoted evidence not found in extracted source text"
+NO_PLACE, BAD_DOI, UNREACHABLE = "source has no DOI, PDF URL, or landing page", "DOI does not match expected shape", "source URL is not reachable"
 #: Characters of the runs that claims and facts meet by.
 GRAM = 4
 DOI = r"10\.\d{4,9}/[-._;()/:\p{L}\p{N}_]+"
@@ -83,10 +94,6 @@ def conflicts(claims: DataFrame, facts: DataFrame) -> DataFrame:
     return first
 
 
-def _challenge(when: Column, severity: str, kind: str, reason: str, wanted: str) -> Column:
-    return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), F.lit(reason).alias("reason"), F.lit(wanted).alias("requested_evidence")))
-
-
 def _no_locator() -> Column:
     return ~(T.filled(F.col("doi")) | T.filled(F.col("pdf_url")) | T.filled(F.col("url")))
 
@@ -94,18 +101,9 @@ def _no_locator() -> Column:
 def challenge_claims(claims: DataFrame) -> DataFrame:
     """One row per weakness of a claim (claim, evidence, confidence; doi, pdf_url and url of its source)."""
     short = F.size(F.filter(F.split("claim", r"\s+"), lambda w: w != "")) < 6
-    found = F.array(
-        _challenge(
-            F.length(T.strip(F.coalesce("evidence", F.lit("")))) < 20,
-            "high",
-            "missing_evidence",
-            "Claim lacks supporting evidence or evidence is too short.",
-            "Provide the sentence or table from the source that supports this claim.",
-        ),
-        _challenge(F.col("confidence") == "low", "medium", "low_confidence", "Extractor assigned low confidence to this claim.", "Re-run extraction with more context or flag for manual review."),
-        _challenge(_no_locator(), "high", "missing_source", "No DOI, PDF URL, or landing page available for the source.", "Resolve a stable URL or DOI for the source."),
-        _challenge(short, "low", "coverage", "Claim is very short; may omit nuance or caveats.", "Restate the claim with full context and any stated limitations."),
-    )
+    when = (F.length(T.strip(F.coalesce("evidence", F.lit("")))) < 20, F.col("confidence") == "low", _no_locator(), short)
+    told = lambda c: F.struct(*[F.lit(v).alias(name) for v, name in zip(c, ("severity", "kind", "reason", "requested_evidence"), strict=True)])
+    found = F.array(*[F.when(w, told(c)) for w, c in zip(when, CHALLENGES, strict=True)])
     return claims.select("campaign_id", "source_id", "claim_index", F.col("claim").alias("claim_text"), F.explode(F.array_compact(found)).alias("c")).select("campaign_id", "source_id", "claim_index", "claim_text", "c.*")
 
 
@@ -116,16 +114,14 @@ def verify_claims(claims: DataFrame, url_status: DataFrame | None = None) -> Dat
     """
     evidence = F.coalesce("evidence", F.lit(""))
     reasons = [
-        F.when(evidence == "", "claim has no quoted evidence").when(
-            ~F.contains(T.normalize_ws(F.coalesce("source_text", F.lit(""))), T.normalize_ws(evidence)), "quoted evidence not found in extracted source text"
-        ),
-        F.when(_no_locator(), "source has no DOI, PDF URL, or landing page").when(T.filled(F.col("doi")) & ~T.doi_is_valid(F.col("doi"), loose=True), "DOI does not match expected shape"),
+        F.when(evidence == "", NO_QUOTE).when(~F.contains(T.normalize_ws(F.coalesce("source_text", F.lit(""))), T.normalize_ws(evidence)), NOT_FOUND),
+        F.when(_no_locator(), NO_PLACE).when(T.filled(F.col("doi")) & ~T.doi_is_valid(F.col("doi"), loose=True), BAD_DOI),
     ]
     if url_status is not None:
         claims = claims.withColumn("__url", F.coalesce("pdf_url", "url")).join(url_status.select(F.col("url").alias("__url"), "status"), "__url", "left")
-        reasons.append(F.when(F.col("__url").isNotNull() & (F.coalesce("status", F.lit(999)) >= 400), "source URL is not reachable"))
+        reasons.append(F.when(F.col("__url").isNotNull() & (F.coalesce("status", F.lit(999)) >= 400), UNREACHABLE))
     reason = F.array_join(F.array_compact(F.array(*reasons)), "; ")
-    return claims.withColumn("__r", reason).select("campaign_id", "source_id", "claim_index", F.col("claim").alias("claim_text"), (F.col("__r") == "").alias("ok"), F.when(F.col("__r") == "", "claim checks passed").otherwise(F.col("__r")).alias("reason"))
+    return claims.withColumn("__r", reason).select("campaign_id", "source_id", "claim_index", F.col("claim").alias("claim_text"), (F.col("__r") == "").alias("ok"), F.when(F.col("__r") == "", PASSED).otherwise(F.col("__r")).alias("reason"))
 
 
 def parse_review_lines(replies: DataFrame, claims: DataFrame) -> DataFrame:

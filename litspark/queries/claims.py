@@ -48,11 +48,13 @@ def _(spark, d):
 
 @query(
     "str_28_extract_citations",
-    r"""WITH a AS (SELECT paper_id, regexp_extract_all(text, '[A-Z][a-zA-Z\-]+(?:\s+(?:and|et\s+al\.)?\s*[A-Z][a-zA-Z\-]+)*\s*\(\d{4}\)') AS l1, regexp_extract_all(text, '\[\d{1,3}\]') AS l2, regexp_extract_all(text, '10\.\d{4,9}/[-._;()/:\p{L}\p{N}_]+') AS l3 FROM v_texts)
-        SELECT paper_id, 'author_year' AS kind, unnest(range(len(l1)))::INT AS nth, unnest(l1) AS raw FROM a UNION ALL SELECT paper_id, 'numbered', unnest(range(len(l2)))::INT, unnest(l2) FROM a UNION ALL SELECT paper_id, 'doi', unnest(range(len(l3)))::INT, unnest(l3) FROM a""",
+    r"""WITH a AS (SELECT paper_id, regexp_extract_all(text, '[A-Z][a-zA-Z\-]+(?:\s+(?:and|et\s+al\.)?\s*[A-Z][a-zA-Z\-]+)*\s*\(\d{4}\)') AS l1, regexp_extract_all(text, '\[\d{1,3}\]') AS l2, regexp_extract_all(text, '10\.\d{4,9}/[-._;()/:\p{L}\p{N}_]+') AS l3 FROM v_texts),
+        c AS (SELECT paper_id, 'author_year' AS kind, unnest(range(len(l1)))::INT AS nth, unnest(l1) AS raw FROM a UNION ALL SELECT paper_id, 'numbered', unnest(range(len(l2)))::INT, unnest(l2) FROM a UNION ALL SELECT paper_id, 'doi', unnest(range(len(l3)))::INT, unnest(l3) FROM a)
+        SELECT *, CASE WHEN kind = 'author_year' THEN array_to_string(list_filter(list_transform(string_split_regex(string_split(raw, '(')[1], '\s+(?:and|et\s+al\.)\s*'), lambda n: trim(n, ' ' || chr(10) || chr(9))), lambda n: n <> ''), ';') END AS authors,
+          CASE WHEN kind = 'author_year' THEN regexp_extract(raw, '\((\d{4})\)', 1)::INT END AS year, CASE WHEN kind = 'doi' THEN raw END AS doi FROM c""",
 )
 def _(spark, d):
-    return C.extract_citations(view(spark, d, "v_texts")).select("paper_id", "kind", "nth", "raw")
+    return C.extract_citations(view(spark, d, "v_texts")).select("paper_id", "kind", "nth", "raw", F.array_join("authors", ";").alias("authors"), "year", "doi")
 
 
 @query("str_28b_citation_context", r"WITH t AS (SELECT paper_id, text, strpos(text, 'See [') + 4 AS p, length(regexp_extract(text, 'See (\[\d{1,3}\])', 1)) AS n FROM v_texts) SELECT paper_id, trim(replace(substr(text, greatest(1, p - 120), p + n + 120 - greatest(1, p - 120)), chr(10), ' '), ' ' || chr(9)) AS context FROM t")
@@ -123,17 +125,32 @@ def _(spark, d):
     return E.improvement_proposals(_report(spark, d)).select("campaign_id", "area", "issue")
 
 
-_BRIEF = f"""WITH {_REPORT}, cl AS (SELECT campaign_id, list(claim || chr(10) ORDER BY source_id, claim_index, claim) AS l FROM (SELECT campaign_id, source_id, claim_index, '. **' || claim || '**' || chr(10) || '   - Evidence: ' || coalesce(nullif(evidence, ''), 'none') || chr(10) || '   - Confidence: ' || confidence || chr(10) || '   - Source: paper ' || source_id || ' (' || coalesce(url, 'no URL') || ')' AS claim FROM l) GROUP BY 1)
-  SELECT campaign_id, '# Research Brief: q' || campaign_id || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || '- Sources reviewed: **' || total_sources || '**' AS head, array_to_string(list_transform(l, lambda x, i: i || x), chr(10)) AS claims FROM scored JOIN cl USING (campaign_id)"""
+_TOLD = " ".join(f"WHEN '{kind}' THEN '{reason}' || chr(10) || '  - Claim: ' || claim_text || chr(10) || '  - Requested evidence: {wanted}'" for _, kind, reason, wanted in C.CHALLENGES)
+_BRIEF = f"""WITH {_REPORT}, cl AS (SELECT campaign_id, list(claim || chr(10) ORDER BY source_id, claim_index, claim) AS l FROM (SELECT campaign_id, source_id, claim_index, '. **' || claim || '**' || chr(10) || '   - Evidence: ' || coalesce(nullif(evidence, ''), 'none') || chr(10) || '   - Confidence: ' || confidence || chr(10) || '   - Source: paper ' || source_id || ' (' || coalesce(url, 'no URL') || ')' AS claim FROM l) GROUP BY 1),
+  hl AS (SELECT campaign_id, string_agg('- **[' || upper(severity) || ']** ' || kind || ': ' || CASE kind {_TOLD} END || chr(10), chr(10) ORDER BY source_id, claim_index, kind, claim_text) AS lines FROM ch GROUP BY 1),
+  vl AS (SELECT campaign_id, string_agg('- ' || claim_text || chr(10) || '  - Reason: ' || r || chr(10), chr(10) ORDER BY source_id, claim_index, claim_text) AS lines FROM ve WHERE r <> '' GROUP BY 1)
+  SELECT campaign_id, '# Research Brief: q' || campaign_id || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || '- Sources reviewed: **' || total_sources || '**' || chr(10) || '- Claims extracted: **' || total_claims || '**' || chr(10) || '- Citations found: **' || citation_count || '**' || chr(10)
+    || '- Claims challenged: **' || challenged_count || '** (' || high_severity_count || ' high severity)' || chr(10) || '- Verifications passed: **' || verified_count || '/' || (verified_count + failed_verification_count) || '**' || chr(10)
+    || '- Coverage score: **' || format('{{:.2f}}', coverage_score::DOUBLE) || '**' || chr(10) || '- Quality score: **' AS head, quality_score, array_to_string(list_transform(l, lambda x, i: i || x), chr(10)) || chr(10) AS claims,
+    '## Challenges' || chr(10) || chr(10) || hl.lines || chr(10) AS challenged, '## Failed Verifications' || chr(10) || chr(10) || vl.lines || chr(10) AS failed
+  FROM scored JOIN cl USING (campaign_id) LEFT JOIN hl USING (campaign_id) LEFT JOIN vl USING (campaign_id)"""
 
 
 @query("agg_08_render_brief", _BRIEF)
 def _(spark, d):
+    """The whole brief in its parts; the quality score as a number, as the engines round halves apart."""
     c = _located(spark, d).withColumns({"title": F.concat(F.lit("paper "), F.col("source_id").cast("string")), "full_text_url": F.col("url")})
     report = _report(spark, d).withColumn("query", F.concat(F.lit("q"), F.col("campaign_id").cast("string")))
-    brief = E.render_brief(report, c, C.challenge_claims(c), C.verify_claims(c))
-    body = F.regexp_extract("brief", r"(?s)## Claims\n\n(.*?)\n## ", 1)
-    return brief.select("campaign_id", F.regexp_extract("brief", r"(?s)^(.*?)\n- Claims extracted", 1).alias("head"), body.alias("claims"))
+    brief = E.render_brief(report, c, C.challenge_claims(c), C.verify_claims(c)).join(report.select("campaign_id", "quality_score"), "campaign_id")
+    part = lambda pattern: F.nullif(F.regexp_extract("brief", pattern, 1), F.lit(""))
+    return brief.select(
+        "campaign_id",
+        "quality_score",
+        part(r"(?s)^(.*?Quality score: \*\*)").alias("head"),
+        part(r"(?s)\n## Claims\n\n(.*?)## (?:Challenges|Failed|Caveats)").alias("claims"),
+        part(r"(?s)\n(## Challenges\n\n.*?)## (?:Failed|Caveats)").alias("challenged"),
+        part(r"(?s)\n(## Failed Verifications\n\n.*?)## Caveats").alias("failed"),
+    )
 
 
 @query("src_15_brief_index", "SELECT '# Research Insights' || chr(10) || chr(10) || 'Aggregated insight briefs from all research campaigns.' || chr(10) || chr(10) || '## Campaigns' || chr(10) || chr(10) || string_agg('- [' || CASE WHEN r_regionkey = 0 THEN lower(r_name) ELSE 'On ' || r_name END || '](./' || lower(r_name) || '/' || lower(r_name) || '_Insights.MD) — `' || lower(r_name) || '`', chr(10) ORDER BY lower(r_name)) || chr(10) AS index FROM region")
@@ -142,14 +159,6 @@ def _(spark, d):
     return E.brief_index(r.select(F.lower("r_name").alias("slug"), F.when(F.col("r_regionkey") == 0, F.lit("none")).otherwise(F.concat(F.lit("x\n# On "), F.col("r_name"), F.lit("\n# no"))).alias("brief")))
 
 
-@query(
-    "rul_11_extract_sources",
-    r"""SELECT paper_id, trim(string_split(text, chr(10) || chr(10))[1]) AS summary, trim(regexp_extract(text, '(?s)## Data\n(.*?)(?:\n#|$)', 1), ' ' || chr(10) || chr(9) || chr(13)) AS data_summary, length(text) AS char_count FROM v_texts""",
-)
-def _(spark, d):
-    return extract_sources(view(spark, d, "v_texts").withColumn("abstract", F.lit(None).cast("string"))).select("paper_id", "summary", "data_summary", F.col("char_count").cast("long").alias("char_count"))
-
-
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
@@ -166,6 +175,23 @@ _READ = rf"""lined AS (SELECT *, string_split(text, chr(10)) AS lines, coalesce(
   sections AS (SELECT *, {_section(("method", "methodology", "approach"))} AS methodology, {_section(("data", "dataset", "materials", "corpus"))} AS data_summary, {_section(("results", "findings", "evaluation"))} AS results_summary,
     list_transform(list_filter({_SENT}, lambda s: {_MARKED})[1:10], lambda s: trim(s, {_BLANK})) AS claims,
     len(regexp_extract_all(text, '[A-Z][a-zA-Z\-]+(?:\s+(?:and|et\s+al\.)?\s*[A-Z][a-zA-Z\-]+)*\s*\(\d{{4}}\)')) + len(regexp_extract_all(text, '\[\d{{1,3}}\]')) + len(regexp_extract_all(text, '10\.\d{{4,9}}/[-._;()/:\p{{L}}\p{{N}}_]+')) AS n_citations FROM lined)"""
+_SOURCE_FACTS = "f AS (SELECT r_regionkey AS fact_id, fact, list_distinct(string_split(fact, ' ')) AS fw FROM (SELECT r_regionkey, lower(CASE WHEN r_regionkey % 2 = 0 THEN 'suggests that the of' ELSE 'in it. the of ' || r_name END) AS fact FROM region))"
+
+
+@query(
+    "rul_11_extract_sources",
+    rf"""WITH src AS (SELECT paper_id, text, NULL::VARCHAR AS abstract FROM v_texts), {_READ}, {_SOURCE_FACTS}
+        SELECT paper_id, summary, methodology, data_summary, results_summary, array_to_string(claims, '|') AS claims, n_citations AS citation_count, length(text) AS char_count,
+          (SELECT count(*) FROM f WHERE len(list_filter(claims, lambda c: contains(lower(c), fact) OR len(list_intersect(fw, string_split_regex(lower(c), '\s+'))) / len(fw) > 0.8)) > 0) AS conflict_count FROM sections""",
+)
+def _(spark, d):
+    fact = F.when(F.col("r_regionkey") % 2 == 0, "suggests that the of").otherwise(F.concat(F.lit("in it. the of "), F.col("r_name")))
+    facts = table(spark, d, "region").select(F.col("r_regionkey").alias("fact_id"), fact.alias("text"))
+    found = extract_sources(view(spark, d, "v_texts").withColumn("abstract", F.lit(None).cast("string")), facts)
+    counts = [F.col(c).cast("long").alias(c) for c in ("citation_count", "char_count", "conflict_count")]
+    return found.select("paper_id", "summary", "methodology", "data_summary", "results_summary", F.array_join("claims.claim", "|").alias("claims"), *counts)
+
+
 _URL = r"regexp_replace(regexp_replace(regexp_replace(lower(coalesce(url, '')), '^https?://', ''), 'www\.', '', 'g'), '/+$', '')"
 _CAMPAIGNS = rf"""WITH RECURSIVE plan AS (SELECT campaign_id, max_sources, s.source, 2 * s.nth + k AS plan_pos, CASE k WHEN 0 THEN query ELSE 'evidence topic' END AS query FROM v_requests, (VALUES (0, 'arxiv'), (1, 'crossref'), (2, 'openalex'), (3, 'semantic_scholar')) s(nth, source), range(2) r(k)),
   answered AS (SELECT campaign_id, max_sources, plan_pos::BIGINT * 4294967296 + row_pos AS pos, v.* FROM plan JOIN v_results v USING (source, query)),

@@ -124,7 +124,20 @@ def _(spark, d):
     return s.select("campaign_id", "duration_seconds", F.coalesce(total, F.lit(0.0)).alias("in_stages"), F.coalesce(F.size("stage_seconds"), F.lit(0)).cast("long").alias("n_stages"))
 
 
-@query("agg_11_render_dashboard")
+_STATUS = ("completed", "failed", "killed", "running", "paused")
+
+
+@query(
+    "agg_11_render_dashboard",
+    f"""WITH c AS (SELECT *, ['init', 'plan', 'discover', 'screen', 'extract', 'adversarial', 'evaluate', 'deliver', 'finalize'][stage_pos + 1] AS stage, greatest(0.0, {_S.format(a='created_at', b='updated_at')})::DOUBLE AS seconds FROM v_campaigns),
+        n AS (SELECT count(*) AS total, {', '.join(f"count(*) FILTER (status = '{s}') AS {s}" for s in _STATUS)}, avg(seconds) AS mean, median(seconds) AS mid FROM c),
+        by_stage AS (SELECT string_agg('- ' || stage || ': ' || k, chr(10) ORDER BY stage) AS lines FROM (SELECT stage, count(*) AS k FROM c GROUP BY 1)),
+        newest AS (SELECT string_agg('- ' || query, chr(10) ORDER BY created_at DESC, campaign_id) AS lines FROM (SELECT * FROM c ORDER BY created_at DESC, campaign_id LIMIT 5))
+        SELECT concat_ws(chr(10), '# Campaign Report' || chr(10) || chr(10) || '_Generated at 2030-01-01T00:00:00+00:00_' || chr(10) || chr(10) || '## Aggregate Metrics' || chr(10), '- **Total campaigns**: ' || total, {', '.join(f"'- **{s.capitalize()}**: ' || {s}" for s in _STATUS)},
+          '- **Average duration**: ' || format('{{:.1f}}', mean) || 's', '- **Median duration**: ' || format('{{:.1f}}', mid) || 's',
+          chr(10) || '### Status Breakdown' || chr(10) || chr(10) || concat_ws(chr(10), {', '.join(f"CASE WHEN {s} > 0 THEN '- {s}: ' || {s} END" for s in sorted(_STATUS))}),
+          chr(10) || '### Current Stage Breakdown' || chr(10) || chr(10) || by_stage.lines, chr(10) || '### Recent Queries' || chr(10) || chr(10) || newest.lines) AS report FROM n, by_stage, newest""",
+)
 def _(spark, d):
     c = view(spark, d, "v_campaigns")
     return T.render_dashboard(T.campaign_metrics(c), "2030-01-01T00:00:00+00:00", T.stage_counts(c), T.newest_queries(c))
