@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from .text import clean_text, strip
 
-# Elements dropped with their bodies.
+# Patterns of elements, and elements dropped with their bodies.
+SCRIPT = r"(?is)<script[^>]*>.*?</script>"
+STYLE = r"(?is)<style[^>]*>.*?</style>"
+LINE_ENDS = r"(?i)</(p|div|h[1-6]|li)>"
+TITLE = "(?i)<title>([^<]+)</title>"
+FIRST_HEADING = "(?i)<h1[^>]*>([^<]+)</h1>"
+STYLES = (r'(?i)\s+style="[^"]*"', r"(?i)\s+style='[^']*'")
+BLOCKS = "(?i)</?(?:div|section|article|main|body)[^>]*>"
+BREAK = r"(?i)<br\s*/?>"
+PARAGRAPH_END = r"(?i)</p\b[^>]*>"
+TAG = "<[^>]+>"
 NOISE = ("script", "style", "nav", "header", "footer", "aside", "svg", "noscript")
 HEADING = r"(?is)<h([1-6])[^>]*>(.*?)</h\1>"
 LINKS = (r'(?is)<a\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>', r"(?is)<a\b[^>]*href='([^']+)'[^>]*>(.*?)</a>")
@@ -31,18 +41,17 @@ def splice(html: Column, pattern: str, rendered: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    text = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", "")
-    text = F.regexp_replace(text, r"(?is)<style[^>]*>.*?</style>", "")
-    return clean_text(F.regexp_replace(text, r"(?i)</(p|div|h[1-6]|li)>", "\n"))
+    return clean_text(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, SCRIPT, ""), STYLE, ""), LINE_ENDS, "\n"))
 
 
 def html_title(html: Column) -> Column:
     of = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
-    return strip(F.coalesce(of("(?i)<title>([^<]+)</title>"), of("(?i)<h1[^>]*>([^<]+)</h1>")))
+    return strip(F.coalesce(of(TITLE), of(FIRST_HEADING)))
 
 
 def drop_noise(html: Column) -> Column:
-    html = F.regexp_replace(F.regexp_replace(html, r'(?i)\s+style="[^"]*"', ""), r"(?i)\s+style='[^']*'", "")
+    for pattern in STYLES:
+        html = F.regexp_replace(html, pattern, "")
     for tag in NOISE:
         html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
     return html
@@ -105,9 +114,8 @@ def render_tables(html: Column) -> Column:
 
 
 def paragraphs(html: Column) -> Column:
-    html = F.regexp_replace(html, "(?i)</?(?:div|section|article|main|body)[^>]*>", "\n\n")
-    html = F.regexp_replace(html, r"(?i)<br\s*/?>", "\n")
-    return F.regexp_replace(F.regexp_replace(html, r"(?i)</p\b[^>]*>", "\n\n"), "<[^>]+>", "")
+    html = F.regexp_replace(F.regexp_replace(html, BLOCKS, "\n\n"), BREAK, "\n")
+    return F.regexp_replace(F.regexp_replace(html, PARAGRAPH_END, "\n\n"), TAG, "")
 
 
 def collapse_blank_lines(markdown: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset (tests), a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.getConf().get("spark.checkpoint.dir") and not sc.master.startswith("local"):
+        if not sc.getConf().get("spark.checkpoint.dir") and not re.match(r"local($|\[)", sc.master):
             raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()).rstrip("/")

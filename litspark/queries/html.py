@@ -52,7 +52,10 @@ def _collapse(x: str) -> str:
     return f"trim({_sub(x, chr(92) + 'n{3,}', 'chr(10) || chr(10)')}, ' ' || chr(9) || chr(10) || chr(13))"
 
 
-@query("str_12_visible_text", f"SELECT page_id, {_CLEAN.format(x=_sub(_sub(_sub('html', '(?is)<script[^>]*>.*?</script>', chr(39) * 2), '(?is)<style[^>]*>.*?</style>', chr(39) * 2), '(?i)</(p|div|h[1-6]|li)>', _NL))} AS visible FROM pages")
+VISIBLE = _CLEAN.format(x=_sub(_sub(_sub('html', '(?is)<script[^>]*>.*?</script>', chr(39) * 2), '(?is)<style[^>]*>.*?</style>', chr(39) * 2), '(?i)</(p|div|h[1-6]|li)>', _NL))
+
+
+@query("str_12_visible_text", f"SELECT page_id, {VISIBLE} AS visible FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", H.visible_text(F.col("html")).alias("visible"))
 

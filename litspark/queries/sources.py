@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.robots import robots_filter
@@ -9,7 +10,9 @@ from ..operators.shared import shared_dir
 from ..registry import query
 from ..sources import files as S
 from ..sources import providers as P
+from ..sources.files import newest_per_key
 from ..testviews import table, view
+from .html import VISIBLE
 
 
 def _shared(spark, name):
@@ -93,9 +96,14 @@ def _(spark, d):
     return P.parse_serp_html(table(spark, d, "pages").withColumn("made", html), "made", keep=["page_id"])
 
 
-@query("src_08_snapshot_pages", r"SELECT page_id, coalesce(trim(nullif(regexp_extract(html, '(?i)<title>([^<]+)</title>', 1), '')), url) AS title, length(html) AS content_length FROM pages")
+@query(
+    "src_08_snapshot_pages",
+    rf"""WITH t AS (SELECT *, {VISIBLE} AS visible FROM pages)
+        SELECT page_id, url, coalesce(trim(nullif(regexp_extract(html, '(?i)<title>([^<]+)</title>', 1), '')), url) AS title, substr(visible, 1, 1000) AS abstract, length(html) AS content_length, length(visible) AS text_length, 'web_crawl' AS source FROM t""",
+)
 def _(spark, d):
-    return P.snapshot_pages(table(spark, d, "pages")).select("page_id", "title", F.col("content_length").cast("long").alias("content_length"))
+    counts = {c: F.col(c).cast("long") for c in ("content_length", "text_length")}
+    return P.snapshot_pages(table(spark, d, "pages")).withColumns(counts)
 
 
 @query("src_09_search_page_meta", "SELECT campaign_id, CASE WHEN max_sources + 10 < 50 THEN max_sources + 10 END AS next_offset, campaign_id % 2 = 0 AS ok FROM v_campaigns")
@@ -155,3 +163,9 @@ def _(spark, d):
     hosts = p.where("page_id % 7 % 2 = 0").select(F.lit("https").alias("scheme"), F.concat(F.lit("h"), (p.page_id % 7).cast("string"), F.lit(".org")).alias("host")).distinct()
     rules = hosts.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("rule_no"), F.lit(a).alias("allow"), F.lit(x).alias("path_prefix")) for i, a, x in ((1, False, "/1"), (2, True, "/"), (3, False, "/2"))])).alias("r"))
     return robots_filter(urls, rules.select("scheme", "host", "r.*")).select("page_id")
+
+
+@query("srt_06b_newest_per_key", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events QUALIFY n <= 3")
+def _(spark, d):
+    newest = newest_per_key(table(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 3)
+    return newest.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))).alias("n"))

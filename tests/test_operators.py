@@ -337,6 +337,34 @@ def test_keyword_search_without_tokens_returns_all(spark):
     assert catalog.keyword_search(df, ["name"], "B").count() == 1
 
 
+@pytest.mark.parametrize("held", [1, 50])
+def test_exact_median(spark, held):
+    rng = random.Random(held)
+    for values in ([5.0], [1.0, 2.0], [7.0] * 9, [rng.expovariate(1) ** 9 for _ in range(301)], [float(rng.randrange(20)) for _ in range(200)], []):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+        got = telemetry.exact_median(df, F.col("x"), held, bins=8)
+        ordered, n = sorted(values), len(values)
+        assert got == (None if not n else (ordered[(n - 1) // 2] + ordered[n // 2]) / 2)
+
+
+def test_robots_of_many_rules(spark):
+    """A host of many rules: the first that meets decides, as in a plain loop."""
+    from litspark.operators.robots import robots_filter
+
+    rng = random.Random(4)
+    letters = lambda: "/" + "".join(rng.choice("ab") for _ in range(rng.randrange(7)))
+    rules = [("https", "x.org", k, rng.random() < 0.5, letters()) for k in rng.sample(range(1000), 60)] + [("https", "y.org", 1, False, ""), ("https", "z.org", 1, False, None)]
+    urls = [(k, f"https://x.org{letters()}") for k in range(200)] + [(900, "https://y.org/a"), (901, "https://z.org/a"), (902, "no url"), (903, "https://x.org")]
+    got = {r.k for r in robots_filter(spark.createDataFrame(urls, "k long, url string"), spark.createDataFrame(rules, "scheme string, host string, rule_no int, allow boolean, path_prefix string")).collect()}
+    want = {901}
+    for k, url in urls[:200] + urls[-1:]:
+        path = url[len("https://x.org") :] or "/"
+        met = sorted(r[2:4] for r in rules[:60] if path.startswith(r[4]))
+        if not met or met[0][1]:
+            want.add(k)
+    assert got == want
+
+
 def test_empty_metrics(spark):
     df = spark.createDataFrame([], "status string, created_at timestamp, updated_at timestamp")
     row = telemetry.campaign_metrics(df).first()
