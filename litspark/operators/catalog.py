@@ -34,7 +34,7 @@ def _all_tokens(columns: Iterable[str]) -> Column:
 
 def build_token_index(docs: DataFrame, id_col: str, columns: Iterable[str]) -> DataFrame:
     """(token, id): each token of the columns once a row."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(_all_tokens(columns)).alias("token")).distinct()
+    return docs.select(F.col(id_col).alias("id"), F.explode(_all_tokens(columns)).alias("token"))
 
 
 def keyword_search(docs: DataFrame, columns: Iterable[str], query: str) -> DataFrame:

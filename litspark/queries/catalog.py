@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
+from ..operators.token_index import TokenIndex
 from ..registry import query
+from .sources import _shared
 from ..testviews import table, view
 
 _LOG = " || ' ' || ".join(f"coalesce({c}, '')" for c in C.LOG_COLUMNS)
@@ -53,6 +55,17 @@ def _(spark, d):
     return C.search_many(C.build_token_index(view(spark, d, "v_log"), "history_id", C.LOG_COLUMNS), queries)
 
 
+@query("joi_07c_search_stored_index", f"SELECT history_id AS id, 1 + (list_contains({_TOK.format(x=_LOG)}, 'purchase') AND list_contains({_TOK.format(x=_LOG)}, 'agent3'))::BIGINT AS words FROM v_log WHERE history_id % 5 <> 2 AND ({_HIT('purchase', 'agent3')})")
+def _(spark, d):
+    """Two segments that overlap, a removal and a merge between them."""
+    log, index = view(spark, d, "v_log"), TokenIndex(spark, _shared(spark, "tokens"), buckets=16)
+    index.add(log.where("history_id % 3 <> 0").withColumn("agent_name", F.lit("agent3")), "history_id", C.LOG_COLUMNS)
+    index.merge()
+    index.add(log, "history_id", C.LOG_COLUMNS)
+    index.remove(log.where("history_id % 5 = 2").select(F.col("history_id").alias("id")))
+    return index.search("Purchase? OR: agent3".replace("OR", ""))
+
+
 @query("joi_08_build_token_index", f"SELECT history_id AS id, unnest(list_distinct({_TOK.format(x=_LOG)})) AS token FROM v_log")
 def _(spark, d):
     return C.build_token_index(view(spark, d, "v_log"), "history_id", C.LOG_COLUMNS)

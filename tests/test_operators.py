@@ -508,3 +508,45 @@ def test_stored_campaigns_work_out_what_is_new(spark):
     assert both(results, [*texts[1:], (texts[0][0], "# Results\n\nWe found that it is otherwise now.")]) == {1, 2}  # a neighbour of 5, too
     assert both(results, texts) == set()
     assert both(results, texts, [(1, "number 5")]) == {1, 2}
+
+
+def test_snowball_of_many_seeds(spark):
+    """More seeds than share one number, against a walk from each."""
+    rng = random.Random(8)
+    links = [(rng.randrange(150), rng.randrange(150)) for _ in range(160)]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    known = [k for k in range(150) if k % 10]
+    want = set()
+    for seed in range(150):
+        seen, front = {seed}, {seed}
+        for level in (1, 2, 3):
+            front = {m for n in front for m in near.get(n, ()) if m % 10} - seen
+            seen |= front
+            want |= {(seed, n, level) for n in front}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = graph.snowball(frame([(k,) for k in range(150)], "seed long"), frame(links, "src long, dst long"), frame([(k,) for k in known], "node long"), 3)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_stored_token_index(spark):
+    """Searches read their words' buckets only, and follow updates, removals and merges."""
+    from litspark.operators.token_index import TokenIndex
+
+    index = TokenIndex(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", buckets=32)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, name string")
+    ids = lambda query: sorted(r.id for r in index.search(query).collect())
+    index.add(frame([(1, "red fox"), (2, "Red hen"), (3, "blue hen"), (3, "blue hen")]), "id", ["name"])
+    assert ids("RED") == [1, 2] and ids("hen fox") == [1, 2, 3]
+    index.add(frame([(2, "green hen"), (4, "red")]), "id", ["name"])
+    assert ids("red") == [1, 4] and ids("green") == [2]
+    index.remove(frame([(1, "")]).select("id"))
+    assert ids("red") == [4] and ids("fox") == []
+    index.merge()
+    assert ids("red") == [4] and ids("hen") == [2, 3]
+    index.add(frame([(1, "red again")]), "id", ["name"])
+    assert ids("red") == [1, 4]
+    plan = index.search("red")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+", plan), plan
