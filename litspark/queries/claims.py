@@ -9,6 +9,7 @@ from ..operators import evaluate as E
 from ..plans.campaign import extract_sources, run_campaigns
 from ..plans.store import StageStore, run_stored
 from ..registry import query
+from ..sources.files import read_documents, write_documents
 from ..testviews import table, view
 from .sources import _shared
 
@@ -136,14 +137,16 @@ _BRIEF = f"""WITH {_REPORT}, cl AS (SELECT campaign_id, list(claim || chr(10) OR
   FROM scored JOIN cl USING (campaign_id) LEFT JOIN hl USING (campaign_id) LEFT JOIN vl USING (campaign_id)"""
 
 
-@query("agg_08_render_brief", _BRIEF)
-def _(spark, d):
-    """The whole brief in its parts; the quality score as a number, as the engines round halves apart."""
+def _brief_inputs(spark, d):
     c = _located(spark, d).withColumns({"title": F.concat(F.lit("paper "), F.col("source_id").cast("string")), "full_text_url": F.col("url")})
     report = _report(spark, d).withColumn("query", F.concat(F.lit("q"), F.col("campaign_id").cast("string")))
-    brief = E.render_brief(report, c, C.challenge_claims(c), C.verify_claims(c)).join(report.select("campaign_id", "quality_score"), "campaign_id")
+    return report, c, C.challenge_claims(c), C.verify_claims(c)
+
+
+def _brief_parts(brief, report):
+    """The whole brief in its parts; the quality score as a number, as the engines round halves apart."""
     part = lambda pattern: F.nullif(F.regexp_extract("brief", pattern, 1), F.lit(""))
-    return brief.select(
+    return brief.join(report.select("campaign_id", "quality_score"), "campaign_id").select(
         "campaign_id",
         "quality_score",
         part(r"(?s)^(.*?Quality score: \*\*)").alias("head"),
@@ -153,6 +156,20 @@ def _(spark, d):
     )
 
 
+@query("agg_08_render_brief", _BRIEF)
+def _(spark, d):
+    report, *more = _brief_inputs(spark, d)
+    return _brief_parts(E.render_brief(report, *more), report)
+
+
+@query("agg_08b_brief_documents", _BRIEF)
+def _(spark, d):
+    """Briefs written line by line, a file a campaign, and read back."""
+    inputs, path = _brief_inputs(spark, d), _shared(spark, "briefs")
+    write_documents(E.brief_lines(*inputs), "campaign_id", list(E.LINE_ORDER), path)
+    return _brief_parts(read_documents(spark, path).select(F.col("campaign_id").cast("long").alias("campaign_id"), F.col("value").alias("brief")), inputs[0])
+
+
 @query("src_15_brief_index", "SELECT '# Research Insights' || chr(10) || chr(10) || 'Aggregated insight briefs from all research campaigns.' || chr(10) || chr(10) || '## Campaigns' || chr(10) || chr(10) || string_agg('- [' || CASE WHEN r_regionkey = 0 THEN lower(r_name) ELSE 'On ' || r_name END || '](./' || lower(r_name) || '/' || lower(r_name) || '_Insights.MD) — `' || lower(r_name) || '`', chr(10) ORDER BY lower(r_name)) || chr(10) AS index FROM region")
 def _(spark, d):
     r = table(spark, d, "region")

@@ -550,3 +550,15 @@ def test_stored_token_index(spark):
     assert ids("red") == [1, 4]
     plan = index.search("red")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+", plan), plan
+
+
+def test_brief_documents_equal_strings(spark):
+    report = spark.createDataFrame([(1, "q", 2, 12, 0, 1, 1, 11, 1, 0.75, 0.5), (2, "", 0, 0, 0, 0, 0, 0, 0, 0.0, 0.0)], "campaign_id long, query string, total_sources long, total_claims long, citation_count long, challenged_count long, high_severity_count long, verified_count long, failed_verification_count long, coverage_score double, quality_score double")
+    c = spark.createDataFrame([(1, k % 2, k, f"claim {k}", None, "low", "T", None) for k in range(12)], "campaign_id long, source_id long, claim_index int, claim string, evidence string, confidence string, title string, full_text_url string")
+    challenges = c.select("campaign_id", "source_id", "claim_index", F.col("claim").alias("claim_text"), F.lit("high").alias("severity"), F.lit("coverage").alias("kind"), F.lit("r").alias("reason"), F.lit("e").alias("requested_evidence"))
+    checks = challenges.select("campaign_id", "source_id", "claim_index", "claim_text", (F.col("claim_index") > 3).alias("ok"), "reason")
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    files.write_documents(evaluate.brief_lines(report, c, challenges, checks), "campaign_id", list(evaluate.LINE_ORDER), path)
+    got = {r.campaign_id: r.value for r in files.read_documents(spark, path).collect()}
+    assert got == {r.campaign_id: r.brief + "\n" for r in evaluate.render_brief(report, c, challenges, checks).collect()}
+    assert got[1].index("12. **claim 11") > got[1].index("2. **claim 2")
