@@ -93,7 +93,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each partition is packed by itself, some ``chunk_tokens`` at a time, so nothing is shuffled and a task
     holds one chunk at most (besides a document larger than that). Sequence ids name the partition and a number in it. Null texts are
-    empty documents of one end id; repeated rows are packed each; an empty table gives no rows.
+    empty documents of one end id; repeated rows are packed each; an empty table gives no rows; columns of other names are left
+    aside. Of equal remainders the earlier row goes first. Which rows share a sequence depends on how the table is partitioned, as
+    each partition is packed alone; pieces, lengths and checksums of a document do not leave it.
     """
     vocabulary = tokenizer_path or vocabulary_path()
 

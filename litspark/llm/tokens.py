@@ -14,6 +14,8 @@ JOINED_WORDS = 1000
 #: A mark at a word's end is a token of its own after one of LETTERS.
 MARKS = frozenset(bytes([c]) for c in b".,!?;:")
 LETTERS = frozenset(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: Texts of mixed scripts, case, marks and blanks whose ids tell whether words are encoded one by one.
+PROBES = ("Don't SPLIT 3.14, html/5:  na\u00efve  Gr\u00f6\u00dfe;\t\u0391\u03b2\u0393 (a-b) x_y `z`!", "\u4f60\u597d\nworld  \u0130stanbul e\u0301 word. 9 lives?", "The quick brown fox, jumps over the lazy dog.")
 _TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -127,7 +129,11 @@ _encoders: dict[tuple, WordEncoder] = {}
 
 
 def encoder(path: str, end_id: int = END_ID) -> WordEncoder:
-    """One encoder a worker and vocabulary."""
+    """One encoder a worker and vocabulary; a tokenizer that does not tokenize word by word is refused."""
     if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = WordEncoder(path, end_id)
+        made = WordEncoder(path, end_id)
+        for probe in PROBES:
+            if made.encode([probe])[0].tolist() != [*made.tokenizer.encode(probe, add_special_tokens=False).ids, end_id]:
+                raise ValueError(f"the tokenizer at {path} does not encode a text as its lower-case words, one by one")
+        _encoders[path, end_id] = made
     return _encoders[path, end_id]

@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 import pyarrow.parquet as pq
 import zlib
@@ -92,3 +93,11 @@ def test_pack_documents(spark):
         assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes())
     assert sum(r.length for r in got) == sum(len(ids[i]) for i, _ in rows)
     assert pack_documents(_frame(spark, [])).count() == 0
+
+
+def test_other_tokenizers_are_refused():
+    from litspark.llm import tokens
+
+    with pytest.raises(ValueError, match="word"):
+        tokens.encoder(tokens.vocabulary_path("byte_bpe_50k.json"))
+    assert tokens.encoder(tokens.vocabulary_path()).encode(["a"])[1].tolist() == [2]
