@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences: every stage is written as Parquet and read again by the next.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever
+their names and number. Null and empty texts, null ids, repeated rows, very long texts and empty tables are taken by each as its docstring says.
 """
 
 from __future__ import annotations
@@ -17,27 +18,27 @@ from litspark.llm.quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep: null and empty texts go, repeated rows are judged each, an empty table stays empty."""
     return keep_good(docs, table(spark, sf_dir, "labels").where(F.col("quality") == 1))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text but for the case of A-Z, the one of the largest id (null is the least): null and empty texts are one text."""
     return keep_one_of_each(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, the one of the least id (null is the largest): of repeated rows one stays."""
     return keep_one_of_each_class(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, 0 to 3 times: a null source is a source, documents without words are taken or not, at no cost."""
     return apply_mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
+    """Pieces of documents in sequences: each row is packed, an empty text as its end id alone, a long one over several sequences."""
     return pack_documents(docs)
 
 
