@@ -113,6 +113,15 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)
     """,
+    "op9_sharding": """
+        WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS crc_table FROM range(256) r(i)),
+          b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+          c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda i: (strpos('0123456789ABCDEF', i[1]) - 1) * 16 + strpos('0123456789ABCDEF', i[2]) - 1)),
+              lambda x, y: xor(x >> 8, crc_table[(xor(x, y) & 255) + 1])), 4294967295) AS text_crc32 FROM b, crc),
+          s AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM c),
+          p AS (SELECT *, least(39, ((2 * upto - size) * 40) // (2 * total))::INT AS shard FROM s)
+        SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32) - 1 AS slot, NULL::INT AS grown_shard FROM p
+    """,
     "op11_decontamination": r"""
         WITH texts AS (SELECT doc_id AS id, NULL AS item, coalesce(text, '') AS text FROM documents UNION ALL SELECT NULL, CAST(item_id AS VARCHAR), coalesce(text, '') FROM benchmark),
         t AS (SELECT id, item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
