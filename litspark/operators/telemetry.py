@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import elapsed_seconds, slugify
+from ..functions.text import elapsed_seconds, fixed, slugify
 from .shared import cut
 
 # Stages in order, and what telemetry may hold.
@@ -197,7 +197,7 @@ def campaign_sections(summaries: DataFrame) -> DataFrame:
     length is written by as many tasks as it takes, ordered by the writer."""
     line = lambda name, c: F.concat(F.lit(f"- **{name}**: "), c)
     named = F.transform(F.map_entries("stage_seconds"), lambda e: F.struct(_stage_name(e["key"]).alias("stage"), e["value"].alias("seconds")))
-    stages = F.transform(F.array_sort(named), lambda s: F.concat(F.lit("  - "), s["stage"], F.lit(": "), F.format_string("%.1f", s["seconds"]), F.lit("s")))
+    stages = F.transform(F.array_sort(named), lambda s: F.concat(F.lit("  - "), s["stage"], F.lit(": "), fixed(s["seconds"], 1), F.lit("s")))
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     lines = [
         F.concat(F.lit("### "), slugify(F.col("query")), F.lit(" ("), F.col("campaign_id").cast("string"), F.lit(")\n")),
@@ -206,7 +206,7 @@ def campaign_sections(summaries: DataFrame) -> DataFrame:
         line("Stage", _stage_name(F.col("stage_pos"))),
         line("Created", iso("created_at")),
         line("Updated", iso("updated_at")),
-        line("Duration", F.concat(F.format_string("%.1f", "duration_seconds"), F.lit("s"))),
+        line("Duration", F.concat(fixed(F.col("duration_seconds"), 1), F.lit("s"))),
         F.when(F.size(stages) > 0, F.concat(F.lit("- **Stage durations**:\n"), F.array_join(stages, "\n"))),
     ]
     return summaries.select("campaign_id", F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("section"))
@@ -230,7 +230,7 @@ def render_dashboard(metrics: DataFrame, generated_at: str, stages: DataFrame |
     Campaigns follow as rows of ``campaign_sections``.
     """
     n = lambda name: F.concat(F.lit(f"- **{name.capitalize()}**: "), F.col(name).cast("string"))
-    seconds = lambda c, name: F.concat(F.lit(f"- **{name} duration**: "), F.format_string("%.1f", c), F.lit("s"))
+    seconds = lambda c, name: F.concat(F.lit(f"- **{name} duration**: "), fixed(F.col(c), 1), F.lit("s"))
     lines = [F.lit("# Campaign Report\n\n_Generated at " + generated_at + "_\n\n## Aggregate Metrics\n"), F.concat(F.lit("- **Total campaigns**: "), F.col("total").cast("string")), *[n(s) for s in STATUSES]]
     lines += [F.when(F.col("average_seconds").isNotNull(), seconds("average_seconds", "Average")), F.when(F.col("median_seconds").isNotNull(), seconds("median_seconds", "Median"))]
     present = F.array_compact(F.array(*[F.when(F.col(s) > 0, F.concat(F.lit(f"- {s}: "), F.col(s).cast("string"))) for s in sorted(STATUSES)]))
