@@ -12,11 +12,14 @@ from .telemetry import _DUR
 
 
 def _lay_down(df, path, order, parts=2):
-    """Files of ranges of ``order`` one after the other, as a log would grow: a stream reads them by age."""
+    """Files of ranges of ``order`` one after the other, as a log would grow: a stream reads them by age.
+
+    Rows are worked out by all tasks, and one writes them: ``coalesce(1)`` would have it read, join and sort them, too.
+    """
     low, high = df.agg(F.min(order), F.max(order)).first()
     for k in range(parts):
         lower, upper = (low + (high + 1 - low) * x // parts for x in (k, k + 1))
-        df.where((F.col(order) >= lower) & (F.col(order) < upper)).coalesce(1).write.mode("append").parquet(path)
+        df.where((F.col(order) >= lower) & (F.col(order) < upper)).repartition(1).write.mode("append").parquet(path)
     return path
 
 
@@ -49,8 +52,9 @@ def _(spark, d):
 
 @query("stm_03_stream_alerts", "SELECT campaign_id, stage_pos, 'thrashing' AS kind, 1::BIGINT AS n FROM v_events WHERE type = 'stage_enter' GROUP BY 1, 2 HAVING count(*) > 3 UNION ALL SELECT campaign_id, stage_pos, 'stage_failure', count(*) FROM v_events WHERE type = 'stage_exit' AND NOT ok GROUP BY 1, 2")
 def _(spark, d):
-    thrash = _run(spark, S.stream_thrashing(_stream(spark, d)), "append").select("campaign_id", "stage_pos", "kind")
-    failed = _run(spark, S.stream_failures(_stream(spark, d)), "append").select("campaign_id", "stage_pos", "kind")
+    events = _stream(spark, d)
+    thrash = _run(spark, S.stream_thrashing(events), "append").select("campaign_id", "stage_pos", "kind")
+    failed = _run(spark, S.stream_failures(events), "append").select("campaign_id", "stage_pos", "kind")
     return thrash.unionByName(failed).groupBy("campaign_id", "stage_pos", "kind").agg(F.count("*").alias("n"))
 
 

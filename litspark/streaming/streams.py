@@ -18,6 +18,8 @@ from .buckets import BucketStore
 
 EVENT = "event_id long, campaign_id long, type string, stage_pos int, ok boolean, error string, ts timestamp, meta map<string,string>"
 MAX_ENTERS = 3
+#: Groups of campaigns whose state is held together.
+STATE_BUCKETS = 4096
 
 
 def read_events(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame:
@@ -92,52 +94,80 @@ def stream_failures(events: DataFrame) -> DataFrame:
     return events.where("type = 'stage_exit' and ok = false").select("campaign_id", "event_id", F.lit("stage_failure").alias("kind"), "stage_pos", F.coalesce("error", F.lit("unknown")).alias("reason"))
 
 
-def stream_thrashing(events: DataFrame, most: int = MAX_ENTERS) -> DataFrame:
-    """One alert per campaign and stage, when its enters pass ``most``."""
+def _by_bucket(rows: DataFrame, buckets: int):
+    """``rows`` grouped by a bucket of campaigns, those without an id apart: state and Python calls are as many as buckets, not as keys."""
+    keyed = rows.withColumns({"bucket": F.pmod(F.xxhash64("campaign_id"), F.lit(buckets)), "nameless": F.col("campaign_id").isNull()})
+    return keyed.groupBy("bucket", "nameless")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0
-        after = before + sum(map(len, frames))
-        state.update((after,))
-        if before <= most < after:
-            yield pd.DataFrame({"campaign_id": [key[0]], "stage_pos": [key[1]], "kind": ["thrashing"]})
 
-    keyed = events.where("type = 'stage_enter' and stage_pos is not null").groupBy("campaign_id", "stage_pos")
-    return keyed.applyInPandasWithState(step, "campaign_id long, stage_pos int, kind string", "n long", "append", GroupStateTimeout.NoTimeout)
+def _columns(frames: Iterator[pd.DataFrame], nameless: bool, *names: str) -> list[list]:
+    """The columns ``names`` of a bucket's rows as lists, with None for a missing campaign."""
+    rows = pd.concat(list(frames))
+    return [[None] * len(rows) if nameless and n == "campaign_id" else rows[n].tolist() for n in names]
+
+
+def _alerts(found: list[tuple], kind: str) -> Iterator[pd.DataFrame]:
+    if found:
+        campaigns, stages = zip(*found)
+        yield pd.DataFrame({"campaign_id": pd.array(campaigns, dtype="Int64"), "stage_pos": stages, "kind": kind})
+
 
+def stream_thrashing(events: DataFrame, most: int = MAX_ENTERS, buckets: int = STATE_BUCKETS) -> DataFrame:
+    """One alert per campaign and stage, when its enters pass ``most``. State holds a bucket's counts, up to one more than ``most``."""
 
-def stream_stuck(events: DataFrame, seconds: int = 300, late: str = "1 second") -> DataFrame:
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        campaigns, stages, counts = state.get if state.exists else ([], [], [])
+        n = dict(zip(zip(campaigns, stages), counts))
+        found = []
+        for at in zip(*_columns(frames, key[1], "campaign_id", "stage_pos")):
+            before = n.get(at, 0)
+            if before == most:
+                found.append(at)
+            n[at] = min(before, most) + 1
+        state.update(([c for c, _ in n], [s for _, s in n], list(n.values())))
+        yield from _alerts(found, "thrashing")
+
+    entered = events.where("type = 'stage_enter' and stage_pos is not null").select("campaign_id", "stage_pos")
+    return _by_bucket(entered, buckets).applyInPandasWithState(step, "campaign_id long, stage_pos int, kind string", "campaigns array<long>, stages array<int>, n array<int>", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_stuck(events: DataFrame, seconds: int = 300, late: str = "1 second", buckets: int = STATE_BUCKETS) -> DataFrame:
     """One alert per entered stage that is neither left nor followed by another enter within ``seconds`` of event time.
 
     A stage that is still open at the end of the input gets its alert if the last event, less ``late``, is more than ``seconds`` away.
-    Events later than ``late``, or just as late, are dropped. State holds a campaign's open stage, and goes with its exit or alert.
+    Events later than ``late``, or just as late, are dropped. State holds the open stages of a bucket's campaigns; one goes with its exit or alert.
     """
 
-    def alert(campaign, stage) -> pd.DataFrame:
-        return pd.DataFrame({"campaign_id": [campaign], "stage_pos": [stage], "kind": ["stuck"]})
-
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stage, since = state.get if state.exists else (None, 0.0)
-        if state.hasTimedOut:
-            state.remove()
-            yield alert(key[0], stage)
-            return
-        for event in pd.concat(list(frames)).sort_values("event_id").itertuples():
-            if stage is not None and event.ts.timestamp() - since > seconds:
-                yield alert(key[0], stage)
-                stage = None
-            if event.type == "stage_enter":
-                stage, since = int(event.stage_pos), event.ts.timestamp()
-            elif event.type == "stage_exit" and event.stage_pos == stage:
-                stage = None
-        if stage is not None:
-            state.update((stage, since))
-            state.setTimeoutTimestamp(max(int((since + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        campaigns, stages, times = state.get if state.exists else ([], [], [])
+        opened = dict(zip(campaigns, zip(stages, times)))
+        found = []
+        if not state.hasTimedOut:
+            for _, campaign, kind, pos, at in sorted(zip(*_columns(frames, key[1], "event_id", "campaign_id", "type", "stage_pos", "at")), key=lambda e: e[0]):
+                stage, since = opened.get(campaign, (None, 0))
+                if stage is not None and at - since > seconds * 1_000_000:
+                    found.append((campaign, stage))
+                    stage = None
+                    del opened[campaign]
+                if kind == "stage_enter":
+                    opened[campaign] = (pos, at)
+                elif kind == "stage_exit" and pos == stage:
+                    del opened[campaign]
+        watermark = state.getCurrentWatermarkMs()
+        due = lambda since: since // 1000 + seconds * 1000
+        for campaign, (stage, since) in list(opened.items()):
+            if due(since) < watermark:
+                found.append((campaign, stage))
+                del opened[campaign]
+        if opened:
+            state.update((list(opened), [s for s, _ in opened.values()], [t for _, t in opened.values()]))
+            state.setTimeoutTimestamp(max(min(due(t) for _, t in opened.values()), watermark + 1))
         elif state.exists:
             state.remove()
+        yield from _alerts(found, "stuck")
 
-    keyed = events.where("stage_pos is not null").withWatermark("ts", late).groupBy("campaign_id")
-    return keyed.applyInPandasWithState(step, "campaign_id long, stage_pos int, kind string", "stage int, since double", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = events.where("stage_pos is not null").withWatermark("ts", late).select("campaign_id", "event_id", "type", "stage_pos", "ts", F.unix_micros("ts").alias("at"))
+    return _by_bucket(rows, buckets).applyInPandasWithState(step, "campaign_id long, stage_pos int, kind string", "campaigns array<long>, stages array<int>, since array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def action_stats(log: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
