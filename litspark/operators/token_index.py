@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import build_token_index
+from .shared import cut, few
 
 SEGMENTS = "generation int, segment int"
+#: Parts by id that a bucket of a segment is dealt to, so a word of a third of all rows is split among tasks.
+PARTS = 16
 
 
 class TokenIndex:
@@ -51,12 +54,14 @@ class TokenIndex:
     def _bucket(self, token):
         return F.pmod(F.xxhash64(token), F.lit(self.buckets)).cast("int")
 
-    def _write(self, generation: int, segment: int, postings: DataFrame, ids: DataFrame, stale: DataFrame) -> None:
+    def _write(self, generation: int, segment: int, postings: DataFrame, ids: DataFrame, stale: DataFrame, repeated: bool = False) -> None:
         at = lambda kind: f"{self.path}/generation={generation}/{kind}/segment={segment}"
         order = ["bucket", "token", "id"]
-        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        # by range, so a word of a third of all rows is split among files of its bucket
-        rows = postings.select(self._bucket(F.col("token")).alias("bucket"), "token", "id").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+        rows = postings.select(self._bucket(F.col("token")).alias("bucket"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"), "token", "id")
+        rows = rows.repartition("bucket", "part")
+        if repeated:  # equal rows were dealt to one task, so they are made one there without another shuffle
+            rows = rows.distinct()
+        rows = rows.drop("part").sortWithinPartitions(*order)
         rows.write.mode("overwrite").option("parquet.writer.version", "PARQUET_2_0").partitionBy("bucket").parquet(at("postings"))
         ids.select("id").write.mode("overwrite").parquet(at("ids"))
         stale.select("id").write.mode("overwrite").parquet(at("stale"))
@@ -66,10 +71,12 @@ class TokenIndex:
         """Index rows as a new segment; ids that the index holds are replaced."""
         listed = self._listed()
         generation, segment = (listed[-1][0], listed[-1][1] + 1) if listed else (0, 0)
-        ids = docs.select(F.col(id_col).alias("id")).distinct()
+        ids = cut(docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")))
+        repeated = not ids.where("n > 1").isEmpty()
+        ids = ids.select("id")
         held = self._read("ids")
         again = ids.limit(0) if held is None else ids.join(held.select("id").distinct(), "id", "left_semi")
-        self._write(generation, segment, build_token_index(docs, id_col, columns).distinct(), ids, again)
+        self._write(generation, segment, build_token_index(docs, id_col, columns), ids, again, repeated)
 
     def remove(self, ids: DataFrame) -> None:
         """Leave the rows of these ids (id) out from now on."""
@@ -83,21 +90,27 @@ class TokenIndex:
         if words is not None:
             buckets = [r.b for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(self._bucket(F.col("w")).alias("b")).collect()]
             found = found.where(F.col("bucket").isin(sorted(set(buckets))) & F.col("token").isin(words))
-        stale = self._read("stale").groupBy("id").agg(F.max("segment").alias("since"))
-        counts = F.col("since").isNull() | (F.col("segment") >= F.col("since"))
-        return found.join(stale, "id", "left").where(counts).select("token", "id")
+        return self._counting(found).select("token", "id")
+
+    def _counting(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (id, segment) without those that a later segment replaces or removes."""
+        stale = self._read("stale")
+        if stale.isEmpty():
+            return rows
+        since = cut(stale.groupBy("id").agg(F.max("segment").alias("since")))
+        return rows.join(few(since), "id", "left").where(F.col("since").isNull() | (F.col("segment") >= F.col("since")))
 
     def search(self, query: str) -> DataFrame:
         """(id, words): rows that hold any word of ``query``, and how many of them."""
         words = sorted(set(re.findall("[a-z0-9]+", query.lower())))
         if not words:
             raise ValueError("no word to search")
-        return self.postings(words).distinct().groupBy("id").agg(F.count("*").alias("words"))
+        # an id counts in one segment, which has each of its words once
+        return self.postings(words).groupBy("id").agg(F.count("*").alias("words"))
 
     def merge(self) -> None:
         """Write what counts as one segment; searches that have begun read the old one."""
         generation = self._listed()[-1][0]
         postings = self.postings()
-        ids, stale = self._read("ids"), self._read("stale").groupBy("id").agg(F.max("segment").alias("since"))
-        ids = ids.join(stale, "id", "left").where(F.col("since").isNull() | (F.col("segment") >= F.col("since"))).select("id").distinct()
+        ids = self._counting(self._read("ids")).select("id").distinct()
         self._write(generation + 1, 0, postings, ids, ids.limit(0))
